@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import dac, decontaminate, sharding, simhash, warc
+from weftline.llm import dac, decontaminate, sharding, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,13 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
 
+def op8_suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_report(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op4_winnow_decontamination, op7_simhash_groups, op10_warc_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op4_winnow_decontamination, op7_simhash_groups, op8_suffix_removal, op10_warc_store)}
 ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op10_warc_store": warc.ORACLE}
