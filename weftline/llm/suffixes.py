@@ -27,7 +27,7 @@ SLICE = 1 << 21
 PLACE = np.uint64((1 << 24) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Suffixes with one lead that a task compares at once; leads with more are compared by counts across tasks.
-GROUP = 4096
+GROUP = 1 << 16
 
 
 def _span(length: int) -> int:
@@ -142,11 +142,12 @@ def repeated(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     data = np.frombuffer(b"".join(rows["segment"]) + bytes(length + span), np.uint8)
     sizes = np.fromiter(map(len, rows["segment"]), np.int64, n)
     at = np.cumsum(sizes) - sizes + most
-    wide, deep = -(-length // 8) * 8, -(-span // 8) * 8
-    step = np.arange(wide)
-    after = np.where(step < (length - least)[:, None], data[np.minimum(at[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
-    step = np.arange(deep)
-    before = np.where(step < most[:, None], data[np.maximum(at[:, None] - 1 - step, 0)], 0).astype(np.uint8)
+    right, left = np.arange(-(-length // 8) * 8), np.arange(-(-span // 8) * 8)
+    after, before = np.zeros((n, len(right)), np.uint8), np.zeros((n, len(left)), np.uint8)
+    for k in range(0, n, 4096):  # the bytes after and before each anchor, zero beyond its strings
+        s = slice(k, k + 4096)
+        after[s] = np.where(right < (length - least)[s, None], data[np.minimum(at[s, None] + right, len(data) - 1)], 0)
+        before[s] = np.where(left < most[s, None], data[np.maximum(at[s, None] - 1 - left, 0)], 0)
     (a_order, a_common), (b_order, b_common) = _sorted_prefixes(group, after), _sorted_prefixes(group, before)
     hit = np.zeros((n, span + 1), bool)
     a_class, b_class = np.empty(n, np.int64), np.empty(n, np.int64)
