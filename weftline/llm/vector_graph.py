@@ -101,7 +101,7 @@ def range_search(points: np.ndarray, graph: list[np.ndarray], start: int, query:
         rows, sims, done = rows[order], sims[order], done[order]
         while beam < len(rows) and sims[beam - 1] >= least:
             beam *= 2
-        open_ = np.flatnonzero(~done[:beam] | False)
+        open_ = np.flatnonzero(~done[:beam])
         if not len(open_):
             return rows[(sims >= least) & (rows != query)]
         inside = open_[sims[open_] >= least]
@@ -218,11 +218,14 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, recall: float = 0.95)
     task, so no task holds more than two blocks. Tasks report counts and
     spanning links, never all pairs. Vectors that are null, zero or not finite
     link with nothing. Rows with one vec_id are copies of it if their vectors
-    are equal, else undefined in which of them is meant.
+    are equal, else undefined in which of them is meant. All vectors have one
+    length.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     units = scratch.write(unit_vectors(vectors.select("vec_id", "embedding")), "units")
     points = scratch.write(units.where("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "points")
+    if not points.limit(1).count():
+        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     for overlap in (2, 3, 5, 8):
         links = _linked(points, least, overlap, f"graph{overlap}")
         counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
