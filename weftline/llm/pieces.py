@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.storage import Scratch
+from weftline.llm.storage import Scratch, small_batches
 
 SPACE = "▁"
 #: A unit is a run of spaces with the word after it: no piece goes from a word into the spaces behind it.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units whose pieces a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def piece_rows(model: str) -> list[tuple[int, str, float, int | None]]:
@@ -192,6 +192,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def _map(df: DataFrame, model: str, column: str, fields: list[T.StructField], work) -> DataFrame:
+    small_batches(df.sparkSession)
     names = [f.name for f in fields]
     schema = T.StructType([*(f for f in df.schema if f.name != column and f.name not in names), *fields])
 

@@ -7,29 +7,30 @@ re-read, not a recomputation.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+
+#: Bytes of one batch of rows sent to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of Python workers by bytes (a session setting, changed only from its default): texts are long, and a worker never gives memory back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864", "67108864b"):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 class Scratch:
     """Tables of one job, in a folder of its own below the shared one."""
 
     def __init__(self, spark: SparkSession, job: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline-{job}-{uuid.uuid4().hex[:12]}"
 
