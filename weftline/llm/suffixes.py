@@ -88,17 +88,32 @@ def _scan(length: int):
     return batches
 
 
+MARKS = ["bucket", "lead", "n", "place", "first", "last"]
+
+
 def _segments(length: int):
     """Cuts the bytes that each candidate anchor's strings lie in out of the texts."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for digest, text, marks in zip(frame["digest"], frame["text"], frame["marks"], strict=True):
+            held, digests, segments = [], [], []
+
+            def flush() -> pd.DataFrame:
+                out = pd.DataFrame({c: np.concatenate([m[k] for m in held]) for k, c in enumerate(MARKS)})
+                out["digest"], out["segment"] = digests, segments
+                return out[["bucket", "lead", "n", "digest", "place", "first", "last", "segment"]]
+
+            for digest, text, *marks in zip(frame["digest"], frame["text"], *(frame[c] for c in MARKS), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                got = pd.DataFrame.from_records([m.asDict() if hasattr(m, "asDict") else m for m in marks])
-                got["digest"] = digest
-                got["segment"] = [data[a : b + length] for a, b in zip(got["first"].tolist(), got["last"].tolist(), strict=True)]
-                yield got[["bucket", "lead", "n", "digest", "place", "first", "last", "segment"]]
+                first, last = (marks[MARKS.index(c)].tolist() for c in ("first", "last"))
+                held.append(marks)
+                digests += [digest] * len(first)
+                segments += [data[a : b + length] for a, b in zip(first, last, strict=True)]
+                if len(segments) >= 4096:
+                    yield flush()
+                    held, digests, segments = [], [], []
+            if segments:
+                yield flush()
 
     return batches
 
@@ -253,9 +268,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
         return pd.Series(np.searchsorted(splitters, lead.to_numpy(), side="right").astype(np.int32))
 
     bucket = F.pandas_udf(bucket, "int")
-    per_text = found.withColumn("bucket", bucket("lead")).groupBy("digest", "doc_id").agg(F.collect_list(F.struct("bucket", "lead", "n", "place", "first", "last")).alias("marks"))
+    per_text = found.withColumn("bucket", bucket("lead")).groupBy("digest", "doc_id").agg(F.collect_list(F.struct(*MARKS)).alias("marks"))
     bodies = docs.select("doc_id", "text").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    with_text = bodies.withColumnRenamed("doc_id", "_id").join(per_text, "digest").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("digest", "text", "marks").dropDuplicates(["digest"])
+    with_text = bodies.withColumnRenamed("doc_id", "_id").join(per_text, "digest").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("digest", "text", *(F.col(f"marks.{c}") for c in MARKS)).dropDuplicates(["digest"])
     segments = scratch.write(with_text.mapInPandas(_segments(length), "bucket int, lead long, n long, digest binary, place long, first long, last long, segment binary"), "segments")
     columns = ["lead", "digest", "place", "first", "last", "segment"]
     near = segments.where(F.col("n") <= group).repartition(tasks(spark), "bucket").sortWithinPartitions("lead").select(*columns)
