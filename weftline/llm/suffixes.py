@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
     classes = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     one_of = scan.where(F.size("place") > 0).join(classes, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["digest"])
     marks = one_of.select("digest", "doc_id", F.explode(F.arrays_zip("place", "first", "last", "lead")).alias("m")).select("digest", "doc_id", "m.*")
-    counts = marks.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
+    counts = scratch.write(marks.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # read again, the join deals both sides itself and can split a hot lead
     found = scratch.write(marks.join(counts, "lead"), "candidates")
     buckets = 4 * tasks(spark)
     splitters = np.array(found.agg(F.percentile_approx("lead", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or [], np.int64)
