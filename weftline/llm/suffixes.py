@@ -33,7 +33,7 @@ GROUP = 1 << 16
 def _span(length: int) -> int:
     if length < 2 * GRAM:
         raise ValueError(f"strings must have {2 * GRAM} bytes at least")
-    return min(256, length - GRAM - length // 4)
+    return min(256, length - GRAM - length // 8)
 
 
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
         again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1")
         more = strings.join(again, "string").select("digest", "start", (F.col("start") + length).alias("stop"))
         spans = spans.unionByName(scratch.write(more, "more_spans"))
+    scratch.drop("segments")
     per_digest = spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     sizes = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
