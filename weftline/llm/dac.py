@@ -178,8 +178,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, fil
     holds those of the attempts that counted, so a lost executor or a second
     attempt leaves at most files that nobody refers to. The folder must be one
     that pyarrow can write and all executors share. A null text is empty;
-    documents with one doc_id follow each other in the order of their texts;
-    null ids come first.
+    documents with one doc_id follow each other in the order of their texts'
+    CRC-32; null ids come first.
     """
     spark = docs.sparkSession
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("file", T.StringType()), ("part", T.IntegerType()), ("seq", T.IntegerType()), ("at", T.LongType()), ("n_tokens", T.LongType())))])
@@ -212,8 +212,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, fil
         if rows:
             yield close()
 
-    order = ["doc_id", "text"]
-    ranged = docs.select(*order).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
+    order = ["doc_id", "_crc"]  # short keys: their samples go to the driver
+    ranged = docs.select("doc_id", "text", F.crc32(F.encode("text", "utf-8")).alias("_crc")).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return ranged.mapInPandas(encode, schema)
 
 
