@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, language, pieces, simhash, suffixes
+from weftline.llm import decontaminate, language, near_copies, pieces, suffixes
 from weftline.llm.storage import Scratch
 
 #: Shortest repeated passage that is cut, in bytes: below 50 words of any of the languages.
@@ -27,10 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one whose doc_id names the group.
 
+    Near duplicates have a Jaccard similarity of 0.8 or more over five-word
+    shingles, exactly; SimHash at a few bits would miss most of them.
     Of rows that share that doc_id one stays, whatever their other columns; rows
     without a doc_id are kept, as no group can name them.
     """
-    groups = simhash.simhash_groups(docs).select("doc_id", F.col("component_id").alias("_group"))
+    groups = near_copies.copy_groups(docs, shingle=5, percent=80).select("doc_id", F.col("component_id").alias("_group"))
     others = groups.where("doc_id != _group").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

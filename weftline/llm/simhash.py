@@ -23,18 +23,23 @@ BUCKET = 4096
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included (a null or wordless text: 0)."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; a text of fewer words is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     cuts = zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(whole[a:b], SEED) for a, b in cuts), np.uint64, len(words) - n + 1)
+    return np.fromiter((digest(whole[a:b], SEED) for a, b in cuts), np.uint64, len(words) - n + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included (a null or wordless text: 0)."""
+    hashes = shingle_hashes(text, shingle)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
