@@ -21,6 +21,8 @@ FEATURE_BITS = 14
 TRIGRAMS = 200.0
 #: Weight of the parent level in a host's prior, in pages.
 PARENT = 5.0
+#: Trigrams a language must have been counted on before its level is known, and nats by which it must lie above what other languages get.
+ENOUGH, GAP = 1 << 16, 1.0
 SCRIPT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
 LETTER = re.compile(r"[^\W\d_]")
@@ -63,16 +65,48 @@ def train(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.nda
     return np.log(counts / counts.sum(axis=0))
 
 
+def bounds(model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By language: the mean log likelihood per trigram below which a text is in none of the languages, and the deviation of one trigram.
+
+    The bound is half way between what a language's own trigrams get under its
+    distribution and the most that those of another language get there. A
+    language with too few trigrams, or too near to another one, takes the mean
+    bound of the rest; without any, nothing is bounded.
+    """
+    p = np.exp(model)
+    levels = p.T @ model  # (of language, under language)
+    own = np.diag(levels).copy()
+    spread = np.sqrt(np.maximum((p * model**2).sum(axis=0) - own**2, 0))
+    np.fill_diagonal(levels, -np.inf)
+    others = levels.max(axis=0)
+    known = (-model.min(axis=0) >= np.log(ENOUGH + len(model))) & (own - others >= GAP)
+    if not known.any():
+        return np.full(len(own), -np.inf), spread
+    middle = (own + np.where(np.isfinite(others), others, own)) / 2
+    return np.where(known, middle, middle[known].mean()), spread
+
+
+def in_bounds(model: np.ndarray, found: list[np.ndarray]) -> list[bool]:
+    """Whether each text, given by its trigrams, is as likely as texts of its likeliest language are; short texts get two deviations."""
+    least, spread = bounds(model)
+    out = []
+    for f in found:
+        mean = model[f].mean(axis=0) if len(f) else least
+        k = mean.argmax()
+        out.append(bool(mean[k] >= least[k] - 2 * spread[k] / np.sqrt(max(len(f) / 3, 1))))  # trigrams overlap
+    return out
+
+
 def text_likelihoods(rows: DataFrame, model: np.ndarray, is_html: bool) -> DataFrame:
-    """rows without ``text``, with ``loglik`` (an array, by language) and ``letters`` (whether the text has any)."""
-    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("letters", T.BooleanType())])
+    """rows without ``text``, with ``loglik`` (an array, by language), ``letters`` (whether the text has any) and ``known`` (whether it is in bounds for a language)."""
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("letters", T.BooleanType()), T.StructField("known", T.BooleanType())])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [visible_text(t) if is_html else t or "" for t in frame["text"]]
             found = [trigrams(t) for t in texts]
             loglik = [(model[f].mean(axis=0) * min(len(f), TRIGRAMS) if len(f) else np.zeros(model.shape[1])).tolist() for f in found]
-            yield frame.drop(columns="text").assign(loglik=loglik, letters=[LETTER.search(t) is not None for t in texts])[schema.names]
+            yield frame.drop(columns="text").assign(loglik=loglik, letters=[LETTER.search(t) is not None for t in texts], known=in_bounds(model, found))[schema.names]
 
     return rows.mapInPandas(score, schema)
 
@@ -133,8 +167,8 @@ def page_languages(pages: DataFrame, labelled: DataFrame, languages: tuple[str,
 
     Evidence: visible text, the ``lang`` of the html element (its primary
     subtag), the last label of the host, and host priors (host, last two labels,
-    suffix, all). accepted: the text has letters and the posterior is ``accept``
-    or more. A null or malformed url has no host, a null html no text.
+    suffix, all). accepted: the text has letters, is as likely as texts of one of
+    the languages are (``bounds``) and the posterior is ``accept`` or more. A null or malformed url has no host, a null html no text.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(
@@ -142,19 +176,20 @@ def page_languages(pages: DataFrame, labelled: DataFrame, languages: tuple[str,
         F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1)), F.lit("")).alias("declared"), F.col("html").alias("text"),
     )
     out = fuse(text_likelihoods(rows, train(labelled, languages), is_html=True), languages)
-    return out.select("page_id", "host", "suffix", "declared", "text_lang", F.col("lang_found").alias("lang"), "posterior", (F.col("letters") & (F.col("posterior") >= accept)).alias("accepted"))
+    return out.select("page_id", "host", "suffix", "declared", "text_lang", F.col("lang_found").alias("lang"), "posterior", (F.col("letters") & F.col("known") & (F.col("posterior") >= accept)).alias("accepted"))
 
 
 def in_known_language(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: float = 0.5) -> DataFrame:
     """The rows of docs whose text is in one of the languages, unchanged.
 
     The ``lang`` column is the declaration and trains the text model, ``source``
-    is the host. Rows without letters in the text, or with no language of
-    posterior ``accept`` or more, are rejected.
+    is the host. Rows without letters in the text, less likely than texts of
+    each language are (``bounds``), or with no language of posterior ``accept``
+    or more, are rejected.
     """
     model = train(docs.select("text", "lang"), languages)
     rows = docs.withColumns({"_docs": F.struct(*docs.columns)}).select(F.col("_docs"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"))
     keyed = rows.withColumn("_key", F.xxhash64("_docs"))
     found = fuse(text_likelihoods(keyed.select("_key", "declared", "host", "domain", "suffix", "text"), model, is_html=False), languages)
-    bad = found.where(~(F.col("letters") & (F.col("posterior") >= accept))).select("_key").distinct()
+    bad = found.where(~(F.col("letters") & F.col("known") & (F.col("posterior") >= accept))).select("_key").distinct()
     return docs.withColumn("_key", F.xxhash64(F.struct(*docs.columns))).join(bad, "_key", "left_anti").select(*docs.columns)
