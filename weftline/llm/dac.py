@@ -111,7 +111,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.model._resize_cache(0)  # words come once: looking them up costs more than it saves
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, bool)
