@@ -21,8 +21,10 @@ SHARD, BLOCK = 2000, 4000
 CENTRES = 1024
 #: Candidates, degree and slack of robust pruning; width of the search's beam.
 CANDIDATES, DEGREE, SLACK, BEAM = 48, 16, 1.2, 16
-#: Vectors of the recall audit, at most: those with the least hash of their id.
+#: Vectors of the recall audit besides the ids divisible by 50: those with the least hash of their id.
 AUDIT = 256
+#: Vectors of the audit that are compared with all rows at once.
+AUDIT_BLOCK = 1024
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -182,23 +184,59 @@ def _linked(points: DataFrame, least: float, overlap: int, job: str) -> DataFram
     return scratch.write(with_graph.groupBy(*group).applyInPandas(_search(least), schema), "links")
 
 
-def audit_recall(points: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> float:
-    """Share of the true links of up to ``queries`` sampled vectors that were found, by comparing those with all rows."""
-    sample = points.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(queries).select("vec_id", "unit").toPandas()
-    if not len(sample):
-        return 1.0
-    ids, q = sample["vec_id"].to_numpy(), np.array(sample["unit"].tolist())
+def _exact(points: DataFrame, least: float, job: str) -> DataFrame:
+    """What ``_linked`` returns, by comparing every pair of blocks of at most some BLOCK rows."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(ids), np.int64)
-        for frame in (f for f in frames if len(f)):
-            total += (np.array(frame["unit"].tolist()) @ q.T >= least).T.astype(np.int64) @ frame["copies"].to_numpy()
-        yield pd.DataFrame({"vec_id": ids, "n": total})
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, rows, weight, block = frame["vec_id"].to_numpy(), np.array(frame["unit"].tolist()), frame["copies"].to_numpy(), frame["block"].to_numpy()
+        within = frame["left"].iloc[0] == frame["right"].iloc[0]
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(ids), 512):
+            hits = rows[at : at + 512] @ rows.T >= least
+            hits &= (np.arange(at, at + len(hits))[:, None] != np.arange(len(ids))) if within else (block[at : at + 512, None] != block)
+            links[at : at + 512] = hits.astype(np.int64) @ weight
+            for q in np.flatnonzero(hits.any(axis=1)):
+                r = np.unique(root[np.append(np.flatnonzero(hits[q]), at + q)])
+                if len(r) > 1:
+                    root[np.isin(root, r[1:])] = r[0]
+        return pd.DataFrame({"vec_id": ids, "links": links, "linked_to": ids[root]})
 
-    schema = T.StructType([points.schema["vec_id"], T.StructField("n", T.LongType())])
-    true = points.mapInPandas(count, schema).groupBy("vec_id").agg(F.sum("n").alias("n"))
-    row = true.join(points.select("vec_id", "copies"), "vec_id").join(found, "vec_id", "left").agg(F.sum(F.greatest(F.col("n") - F.col("copies"), F.lit(0))).alias("true"), F.sum(F.coalesce("links", F.lit(0))).alias("found")).first()
-    return 1.0 if not row["true"] else row["found"] / row["true"]
+    spark = points.sparkSession
+    blocks = max(1, math.ceil(points.count() / BLOCK))
+    cut = points.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    pairs = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("vec_id", "copies", "unit", "block", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"))
+    schema = T.StructType([points.schema["vec_id"], T.StructField("links", T.LongType()), T.StructField("linked_to", points.schema["vec_id"].dataType)])
+    return Scratch(spark, job).write(pairs.repartition(tasks(spark), "left", "right").groupBy("left", "right").applyInPandas(compare, schema), "links")
+
+
+def audit_recall(points: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> float:
+    """Mean share of a vector's true links that were found, by comparing sampled vectors with all rows.
+
+    The sample is all ids divisible by 50 and, as a table may have none of
+    those, ``queries`` others; it is compared in blocks. Vectors without true links do not count.
+    """
+    others = points.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(queries)
+    sample = Scratch(points.sparkSession, "audit").write(points.where("vec_id % 50 = 0").unionByName(others.where("vec_id % 50 != 0")), "sample")
+    blocks = math.ceil(sample.count() / AUDIT_BLOCK)
+    total, vectors = 0.0, 0
+    for k in range(blocks):
+        block = sample.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)) == k).select("vec_id", "unit").toPandas()
+        if not len(block):
+            continue
+        ids, q = block["vec_id"].to_numpy(), np.array(block["unit"].tolist())
+
+        def count(frames: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+            n = np.zeros(len(ids), np.int64)
+            for frame in (f for f in frames if len(f)):
+                n += (np.array(frame["unit"].tolist()) @ q.T >= least).T.astype(np.int64) @ frame["copies"].to_numpy()
+            yield pd.DataFrame({"vec_id": ids, "n": n})
+
+        schema = T.StructType([points.schema["vec_id"], T.StructField("n", T.LongType())])
+        true = points.mapInPandas(count, schema).groupBy("vec_id").agg(F.sum("n").alias("n"))
+        both = true.join(points.select("vec_id", "copies"), "vec_id").select("vec_id", (F.col("n") - F.col("copies")).alias("n")).where("n > 0").join(found, "vec_id", "left")
+        row = both.agg(F.sum(F.least(F.coalesce("links", F.lit(0)) / F.col("n"), F.lit(1.0))).alias("share"), F.count("*").alias("vectors")).first()
+        total, vectors = total + (row["share"] or 0.0), vectors + row["vectors"]
+    return total / vectors if vectors else 1.0
 
 
 def vector_groups(vectors: DataFrame, least: float = 0.9, recall: float = 0.95) -> DataFrame:
@@ -211,8 +249,9 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, recall: float = 0.95)
     its shards, and each shard searches every member from its medoid over the
     united lists. Cosines are exact, so no reported link is below ``least``; a
     pair is counted in the smallest shard that both are in. A sample is
-    compared with all rows, and while the recall of links is below ``recall``
-    the overlap is widened (2, 3, 5, 8 shards).
+    compared with all rows, and while its mean recall of links is below
+    ``recall`` the overlap is widened (2, 3, 5, 8 shards). If that does not
+    help, as in dense groups near each other, all pairs are compared in blocks.
 
     Shards above BLOCK rows are cut into blocks, and each pair of blocks is a
     task, so no task holds more than two blocks. Tasks report counts and
@@ -231,6 +270,9 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, recall: float = 0.95)
         counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
         if audit_recall(points, counts, least) >= recall:
             break
+    else:
+        links = _exact(points, least, "exact")
+        counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     group = connected_components(links.select(F.col("vec_id").alias("a"), F.col("linked_to").alias("b")))
     classes = points.join(counts, "vec_id", "left").join(group.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     classes = classes.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
