@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import Scratch
+from weftline.llm.storage import Scratch, tasks
 
 #: Base32 alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -29,16 +29,40 @@ def _lines(*lines: Column) -> Column:
     return F.concat(*(F.concat(x, F.lit("\r\n")) for x in lines), F.lit("\r\n"))
 
 
+def _one_line(value: Column) -> Column:
+    """A header value may not hold line ends: they are written as in URLs."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def _name(path: str) -> str:
+    return f"weftline_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def _write_bucketed(df: DataFrame, path: str) -> None:
+    """Parquet below path, bucketed by digest, so that a later join on it moves nothing."""
+    df.write.mode("overwrite").format("parquet").bucketBy(tasks(df.sparkSession), "sha256").sortBy("sha256").option("path", path).saveAsTable(_name(path))
+
+
+def _read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The table as bucketed if this session knows it; else its plain files, which a join shuffles."""
+    return spark.table(_name(path)) if spark.catalog.tableExists(_name(path)) else spark.read.parquet(path)
+
+
 def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes ``payloads`` (sha256, bytes) and ``headers`` (one exact WARC header block a record) below path.
+    """Writes ``payloads`` (sha256, payload) and exact WARC header blocks, one a record, below path.
 
     Of records with equal payloads of at least ``least`` bytes the one with the
     largest page_id is the response, the others are revisits of it; shorter
     payloads are responses all. Rows that share the largest page_id are told
     apart by their place, so one of them is the response. A null html is an
-    empty payload, a null page_id is smaller than any other; a url may be null.
-    Payload bytes are stored once for each SHA-256; equal digests are checked to
-    mean equal bytes (length and SHA-1 are compared as well).
+    empty payload, a null page_id is smaller than any other; a url may be null,
+    and line ends in it are written as %0D and %0A.
+
+    Payload bytes are stored once for each SHA-256 (equal digests are checked to
+    mean equal length and SHA-1), and are shuffled once, after each task has
+    dropped its own copies. ``headers`` holds the first response of each digest;
+    it and ``payloads`` are bucketed by digest alike. ``more_headers`` holds all
+    other records, which need no bytes or few, so no bucket grows with a group of copies.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
@@ -50,53 +74,71 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     )
     rank = F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "place")
     # Groups of copies shrink before the shuffle: a row for each digest and task.
-    keep = index.groupBy("sha256").agg(F.max(rank).alias("top"), F.countDistinct("sha1", "payload_bytes").alias("forms"), F.first("sha1").alias("sha1_kept"))
+    keep = index.groupBy("sha256").agg(F.max(rank).alias("top"), F.countDistinct("sha1", "payload_bytes").alias("forms"))
     keep = keep.select("sha256", F.col("top.place").alias("top_place"), F.when(F.col("top.known"), F.col("top.page_id")).alias("top_page"), F.when(F.col("forms") == 1, True).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("boolean")).alias("verified"))
     joined = index.join(keep, "sha256").where("verified")
     revisit = (F.col("payload_bytes") >= least) & (F.col("place") != F.col("top_place"))
-    uri = F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
+    uri = _one_line(F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
     record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("place").cast("string"), F.lit(">"))
     refers = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("top_page").cast("string"), F.lit("none")), F.lit(":"), F.col("top_place").cast("string"), F.lit(">"))
     common = [F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {EPOCH}"), F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"))]
     response = _lines(F.lit("WARC/1.1"), F.lit("WARC-Type: response"), *common, F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string")))
     again = _lines(F.lit("WARC/1.1"), F.lit("WARC-Type: revisit"), *common, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), refers), F.concat(F.lit("WARC-Truncated: length")), F.lit("Content-Length: 0"))
-    joined.select("page_id", "place", "sha256", F.when(revisit, again).otherwise(response).cast("binary").alias("header"), (~revisit).alias("has_block")).write.mode("overwrite").parquet(f"{path}/headers")
-    rows.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
+    headers = joined.select("page_id", "place", "sha256", F.when(revisit, again).otherwise(response).cast("binary").alias("header"), (~revisit).alias("has_block"), (F.col("place") == F.col("top_place")).alias("top"))
+    headers = scratch.write(headers, "headers")
+    _write_bucketed(headers.where("top").drop("top", "has_block"), f"{path}/headers")
+    headers.where("not top").drop("top").write.mode("overwrite").parquet(f"{path}/more_headers")
+    _write_bucketed(rows.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload")), f"{path}/payloads")
+    scratch.drop("index")
+    scratch.drop("headers")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, place, sha256, record): every record's exact bytes, rebuilt by a join on the digest."""
-    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    block = F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(payloads, "sha256").select("page_id", "place", "sha256", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    first, payloads = (_read_bucketed(spark, f"{path}/{name}") for name in ("headers", "payloads"))
+    more = spark.read.parquet(f"{path}/more_headers")
+    record = lambda *block: F.concat("header", *block, F.lit(b"\r\n\r\n")).alias("record")
+    names = ["page_id", "place", "sha256"]
+    out = first.join(payloads, "sha256").select(*names, record("payload"))
+    out = out.unionByName(more.where("not has_block").select(*names, record()))
+    return out.unionByName(more.where("has_block").join(payloads, "sha256").select(*names, record("payload")))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Fields of records from their bytes alone; ``payload`` is what the digest in the header stands for.
+    """Fields of records from their bytes alone; ``payload_bytes`` and ``payload_digest`` are null for revisits, which have no bytes.
 
-    The digest is computed anew from the stored payload, and a record whose
-    header names another digest stops the job.
+    The header ends at the first blank line. A record whose block has another
+    length or another digest than its header states stops the job.
     """
-    blank = F.instr(F.hex("record"), "0D0A0D0A")
-    head = F.decode(F.substring("record", F.lit(1), F.floor(blank / 2).cast("int")), "utf-8")
+    head_bytes = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n") + 3  # a character a byte
+    split = records.select("page_id", "place", "sha256", "record", head_bytes.alias("head_bytes")).select(
+        "page_id", "place", "sha256", F.decode(F.substring("record", F.lit(1), F.col("head_bytes")), "UTF-8").alias("head"),
+        F.expr("substring(record, head_bytes + 1, octet_length(record) - head_bytes - 4)").alias("block"), (F.substring("record", F.octet_length("record") - 3, F.lit(4)) == F.lit(b"\r\n\r\n")).alias("ended"),
+    )
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    split = records.select("page_id", "place", "record", "payload", head.alias("head"))
+    carried = field("WARC-Type") == "response"
     out = split.select(
-        "page_id", "place", field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("uri"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([A-Z2-7]{32})", 1).alias("stated"),
+        "page_id", "place", "sha256", field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("uri"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([A-Z2-7]{32})", 1).alias("stated"),
         F.expr("try_cast(nullif(regexp_extract(head, '(?m)^WARC-Refers-To: <urn:page:(-?[0-9]+):', 1), '') as bigint)").alias("refers_to"), field("Content-Length").cast("long").alias("block_bytes"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
+        F.octet_length("block").cast("long").alias("found"), "ended", F.when(carried, F.octet_length("block").cast("long")).alias("payload_bytes"), F.when(carried, base32_sha1(F.col("block"))).alias("payload_digest"),
     )
-    sound = (F.col("stated") == F.col("payload_digest")) & (F.col("block_bytes") == F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))
-    return out.where(F.when(sound, True).otherwise(F.raise_error(F.lit("a record does not match its payload")).cast("boolean"))).drop("stated", "block_bytes")
+    sound = F.col("ended") & (F.col("block_bytes") == F.col("found")) & ((F.col("record_type") == "revisit") | (F.col("stated") == F.col("payload_digest")))
+    return out.where(F.when(sound, True).otherwise(F.raise_error(F.lit("a record does not match its header")).cast("boolean"))).drop("block_bytes", "found", "ended")
+
+
+def resolved(parsed: DataFrame) -> DataFrame:
+    """parsed with size and digest of revisits taken from the response that was read for their payload."""
+    of = parsed.where("record_type = 'response'").groupBy("sha256").agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("of"))
+    same = F.when(F.col("stated") == F.col("of.payload_digest"), True).otherwise(F.raise_error(F.lit("a revisit does not match its response")).cast("boolean"))
+    both = parsed.join(of, "sha256").where(same)
+    return both.select("page_id", F.col("of.payload_bytes").alias("payload_bytes"), F.col("of.payload_digest").alias("payload_digest"), "record_type", "refers_to", "uri")
 
 
 def archived_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages to an archive in the shared folder, reads it back and reports each record."""
     scratch = Scratch(pages.sparkSession, "archive")
     write_archive(pages, scratch.root, least)
-    parsed = parse_records(read_records(pages.sparkSession, scratch.root))
-    return parsed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
-
+    return resolved(scratch.write(parse_records(read_records(pages.sparkSession, scratch.root)), "parsed"))
 
 #: The same rows in DuckDB.
 ORACLE = f"""
