@@ -15,12 +15,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 EPOCH = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a binary column: four characters from every five hex digits."""
-    digest = F.sha1(data)
+def base32(digits_of: str) -> Column:
+    """Bare upper-case base32 of a column of 40 hex digits: four characters from every five of them."""
     digits = []
     for at in range(1, 41, 5):
-        value = F.conv(F.substring(digest, at, 5), 16, 10).cast("int")
+        value = F.conv(F.substring(digits_of, at, 5), 16, 10).cast("int")
         digits += [F.substring(F.lit(BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*digits)
 
@@ -68,10 +67,8 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     scratch = Scratch(spark, "warc")
     body = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
     rows = pages.select("page_id", "url", body.alias("payload"))
-    index = scratch.write(
-        rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("place")),
-        "index",
-    )
+    digests = rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("hex"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("place"))
+    index = scratch.write(digests.select("page_id", "url", "sha256", base32("hex").alias("sha1"), "payload_bytes", "place"), "index")
     rank = F.struct(F.col("page_id").isNotNull().alias("known"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "place")
     # Groups of copies shrink before the shuffle: a row for each digest and task.
     keep = index.groupBy("sha256").agg(F.max(rank).alias("top"), F.countDistinct("sha1", "payload_bytes").alias("forms"))
@@ -94,11 +91,11 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, place, sha256, record): every record's exact bytes, rebuilt by a join on the digest."""
+    """(page_id, place, sha256, head_bytes, record): every record's exact bytes, rebuilt by a join on the digest, and the length of its header."""
     first, payloads = (_read_bucketed(spark, f"{path}/{name}") for name in ("headers", "payloads"))
     more = spark.read.parquet(f"{path}/more_headers")
     record = lambda *block: F.concat("header", *block, F.lit(b"\r\n\r\n")).alias("record")
-    names = ["page_id", "place", "sha256"]
+    names = ["page_id", "place", "sha256", F.octet_length("header").alias("head_bytes")]
     out = first.join(payloads, "sha256").select(*names, record("payload"))
     out = out.unionByName(more.where("not has_block").select(*names, record()))
     return out.unionByName(more.where("has_block").join(payloads, "sha256").select(*names, record("payload")))
@@ -107,23 +104,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def parse_records(records: DataFrame) -> DataFrame:
     """Fields of records from their bytes alone; ``payload_bytes`` and ``payload_digest`` are null for revisits, which have no bytes.
 
-    The header ends at the first blank line. A record whose block has another
-    length or another digest than its header states stops the job.
+    ``head_bytes`` must be where the first blank line ends. A record whose block
+    has another length or another digest than its header states stops the job.
     """
-    head_bytes = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n") + 3  # a character a byte
-    split = records.select("page_id", "place", "sha256", "record", head_bytes.alias("head_bytes")).select(
-        "page_id", "place", "sha256", F.decode(F.substring("record", F.lit(1), F.col("head_bytes")), "UTF-8").alias("head"),
-        F.expr("substring(record, head_bytes + 1, octet_length(record) - head_bytes - 4)").alias("block"), (F.substring("record", F.octet_length("record") - 3, F.lit(4)) == F.lit(b"\r\n\r\n")).alias("ended"),
+    split = records.select(
+        "page_id", "place", "sha256", "head_bytes", F.substring("record", F.lit(1), F.col("head_bytes")).alias("raw"),
+        F.expr("octet_length(record) - head_bytes - 4").cast("long").alias("found"), F.sha1(F.expr("substring(record, head_bytes + 1, octet_length(record) - head_bytes - 4)")).alias("hex"),
+        (F.substring("record", F.octet_length("record") - 3, F.lit(4)) == F.lit(b"\r\n\r\n")).alias("ended"),
     )
+    blank = F.instr(F.decode("raw", "ISO-8859-1"), "\r\n\r\n")  # a character a byte
+    split = split.select("page_id", "place", "sha256", "found", F.decode("raw", "UTF-8").alias("head"), base32("hex").alias("digest"), (F.col("ended") & (blank == F.col("head_bytes") - 3)).alias("framed"))
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    carried = field("WARC-Type") == "response"
     out = split.select(
-        "page_id", "place", "sha256", field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("uri"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([A-Z2-7]{32})", 1).alias("stated"),
+        "page_id", "place", "sha256", "found", "digest", "framed", field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("uri"), F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: sha1:([A-Z2-7]{32})", 1).alias("stated"),
         F.expr("try_cast(nullif(regexp_extract(head, '(?m)^WARC-Refers-To: <urn:page:(-?[0-9]+):', 1), '') as bigint)").alias("refers_to"), field("Content-Length").cast("long").alias("block_bytes"),
-        F.octet_length("block").cast("long").alias("found"), "ended", F.when(carried, F.octet_length("block").cast("long")).alias("payload_bytes"), F.when(carried, base32_sha1(F.col("block"))).alias("payload_digest"),
     )
-    sound = F.col("ended") & (F.col("block_bytes") == F.col("found")) & ((F.col("record_type") == "revisit") | (F.col("stated") == F.col("payload_digest")))
-    return out.where(F.when(sound, True).otherwise(F.raise_error(F.lit("a record does not match its header")).cast("boolean"))).drop("block_bytes", "found", "ended")
+    carried = F.col("record_type") == "response"
+    sound = F.col("framed") & (F.col("block_bytes") == F.col("found")) & (~carried | (F.col("stated") == F.col("digest")))
+    out = out.where(F.when(sound, True).otherwise(F.raise_error(F.lit("a record does not match its header")).cast("boolean")))
+    return out.select("page_id", "place", "sha256", "record_type", "uri", "stated", "refers_to", F.when(carried, F.col("found")).alias("payload_bytes"), F.when(carried, F.col("digest")).alias("payload_digest"))
 
 
 def resolved(parsed: DataFrame) -> DataFrame:
