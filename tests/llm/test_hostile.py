@@ -36,3 +36,28 @@ def test_wrong_bytes_stop_the_job(spark, tmp_path):
     broken = records.withColumn("record", F.encode(F.replace(F.decode("record", "UTF-8"), F.lit("abd"), F.lit("abx")), "UTF-8"))
     with pytest.raises(Exception, match="does not match its header"):
         warc.parse_records(broken).collect()
+
+
+def test_texts_that_repeat_themselves_at_once(spark):
+    from fixtures import SCHEMA, sentence
+    import random
+
+    from test_tables import brute_removal
+
+    from weftline.llm import suffixes
+
+    rng = random.Random(2)
+    s = lambda n: sentence(rng, n)
+    bodies = ["a" * 5000, s(20) + "a" * 450 + s(20), s(20) + "a" * 400 + s(20), s(20) + "ab" * 300 + s(20), "b" + "ab" * 200, ("x" * 350 + "y") * 20, ("0123456789" * 30 + "q") * 6, s(60) + " " * 399 + s(60), "=" * 401, ("abc" * 50 + "z") * 9 + s(10)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(bodies)]
+    for some in (rows, rows[:1], rows[3:5]):
+        got = suffixes.removal_report(spark.createDataFrame(some, SCHEMA), 400).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(some, 400)
+
+
+def test_a_run_of_one_byte_has_few_anchors():
+    from weftline.llm import suffixes
+
+    data = b"a" * (20 << 20)
+    place, first, last, spans = suffixes.anchors(data, 400)
+    assert len(place) < 100 and suffixes._merge(spans) == [(0, len(data))]

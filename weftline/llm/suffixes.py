@@ -36,9 +36,34 @@ def _span(length: int) -> int:
     return min(256, length - GRAM - length // 8)
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first, last): anchors and the first and last string that each stands for."""
+def _periods(part: bytes, place: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(needless, spans) of a piece of text: starts of strings that also begin a short period earlier, and all bytes of such runs.
+
+    Where a text repeats itself at a short distance (as a run of one byte does),
+    neighbouring anchors have equal grams, as many as the text has bytes at
+    worst. Each string of the run begins at two places, so all of it is
+    repeated, and the strings of its first period stand for the others.
+    """
+    data, needless, spans = np.frombuffer(part, np.uint8), np.zeros(len(place), bool), []
+    where = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+    at = place[where]
+    gap = np.where(grams[at[1:]] == grams[at[:-1]], np.diff(at), 0)
+    for d in np.unique(gap[gap > 0]).tolist():
+        own = np.flatnonzero(gap == d)
+        low, high = max(int(at[own[0]]) - length, 0), min(int(at[own[-1] + 1]) + length + d, len(data))
+        same = np.concatenate(([False], data[low : high - d] == data[low + d : high], [False]))
+        edges = np.flatnonzero(same[1:] != same[:-1]) + low
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a >= length:  # strings from a to b - length begin again d later
+                needless[a + d : b - length + d + 1] = True
+                spans.append((a, b + d))
+    return needless, spans
+
+
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(place, first, last, spans): anchors and the first and last string that each stands for, and spans that repeat at once (``_periods``)."""
     out: list[list[np.ndarray]] = [[], [], []]
+    repeats: list[tuple[int, int]] = []
     span, starts = _span(length), len(data) - length + 1
     for at in range(0, max(starts, 0), SLICE):
         n = min(SLICE, starts - at)
@@ -52,6 +77,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             h *= MIX[k // 8 % 2]
         h ^= h >> np.uint64(33)
         h &= ~PLACE
+        grams = h.copy()
         h |= np.arange(m, dtype=np.uint64)
         width = 1
         while width < span:  # the least value of each window, by doubling
@@ -59,11 +85,15 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             h = np.minimum(h[:-step], h[step:])
             width += step
         place = (h[:n] & PLACE).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(place)) + 1
+        needless, spans = _periods(part, place, grams, length)
+        repeats += [(a + at, b + at) for a, b in spans]
+        starts_left = np.flatnonzero(~needless)
+        place = place[starts_left]
+        cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(starts_left) != 1)) + 1
         first = np.concatenate(([0], cuts))
-        for x, y in zip(out, (place[first], first, np.concatenate((cuts, [n])) - 1), strict=True):
+        for x, y in zip(out, (place[first], starts_left[first], starts_left[np.concatenate((cuts, [len(place)])) - 1]), strict=True):
             x.append(y + at)
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    return *(np.concatenate(x) if x else np.empty(0, np.int64) for x in out), repeats
 
 
 def _leads(data: bytes, places: np.ndarray, size: int) -> np.ndarray:
@@ -81,39 +111,36 @@ def _scan(length: int):
             rows = []
             for text in frame["text"]:
                 data = (text or "").encode("utf-8", "replace")
-                place, first, last = anchors(data, length)
-                rows.append((hashlib.sha256(data).digest(), len(data), place, first, last, _leads(data, place, length - _span(length) + 1)))
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "n_bytes", "place", "first", "last", "lead"])], axis=1)
+                place, first, last, repeats = anchors(data, length)
+                rows.append((hashlib.sha256(data).digest(), len(data), place, first, last, _leads(data, place, length - _span(length) + 1), [a for a, _ in repeats], [b for _, b in repeats]))
+            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "n_bytes", "place", "first", "last", "lead", "starts", "stops"])], axis=1)
 
     return batches
 
 
 MARKS = ["bucket", "lead", "n", "place", "first", "last"]
+SEGMENT = ["bucket", "lead", "n", "digest", "place", "first", "last", "segment"]
 
 
 def _segments(length: int):
-    """Cuts the bytes that each candidate anchor's strings lie in out of the texts."""
+    """Cuts the bytes that each candidate anchor's strings lie in out of the texts, some thousand of them at once."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
         for frame in frames:
-            held, digests, segments = [], [], []
-
-            def flush() -> pd.DataFrame:
-                out = pd.DataFrame({c: np.concatenate([m[k] for m in held]) for k, c in enumerate(MARKS)})
-                out["digest"], out["segment"] = digests, segments
-                return out[["bucket", "lead", "n", "digest", "place", "first", "last", "segment"]]
-
             for digest, text, *marks in zip(frame["digest"], frame["text"], *(frame[c] for c in MARKS), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                first, last = (marks[MARKS.index(c)].tolist() for c in ("first", "last"))
-                held.append(marks)
-                digests += [digest] * len(first)
-                segments += [data[a : b + length] for a, b in zip(first, last, strict=True)]
-                if len(segments) >= 4096:
-                    yield flush()
-                    held, digests, segments = [], [], []
-            if segments:
-                yield flush()
+                for at in range(0, len(marks[0]), 4096):  # a long text has many
+                    some = pd.DataFrame({c: m[at : at + 4096] for c, m in zip(MARKS, marks, strict=True)}).assign(digest=digest)
+                    some["segment"] = [data[a : b + length] for a, b in zip(some["first"].tolist(), some["last"].tolist(), strict=True)]
+                    held.append(some)
+                    rows += len(some)
+                    if rows >= 4096:
+                        yield pd.concat(held, ignore_index=True)[SEGMENT]
+                        held, rows = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)[SEGMENT]
 
     return batches
 
@@ -217,6 +244,11 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pairs(marks) -> list[tuple[int, int]]:
+    """(start, stop) of an array of structs as a Python worker gets it."""
+    return [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in marks]
+
+
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     ends = [0, *(b for _, b in spans)]
     return b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(data)], strict=True))
@@ -253,7 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType()), *(T.StructField(c, longs) for c in ("place", "first", "last", "lead"))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("n_bytes", T.LongType()), *(T.StructField(c, longs) for c in ("place", "first", "last", "lead", "starts", "stops"))])
     scan = scratch.write(docs.select("doc_id", "text").mapInPandas(_scan(length), schema), "anchors")
     texts = scan.select("doc_id", "digest", "n_bytes")
     classes = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -281,10 +313,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
             "digest", "start", F.md5(F.concat(F.col("lead").cast("string").cast("binary"), (F.col("place") - F.col("start")).cast("string").cast("binary"), F.substring("segment", F.col("start").cast("int") - F.col("first").cast("int") + 1, F.lit(length)))).alias("string")
         )
         strings = scratch.write(strings, "strings")
-        again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1")
+        again = scratch.write(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "again")  # read again, so that a hot string is split
         more = strings.join(again, "string").select("digest", "start", (F.col("start") + length).alias("stop"))
         spans = spans.unionByName(scratch.write(more, "more_spans"))
     scratch.drop("segments")
+    at_once = one_of.where(F.size("starts") > 0).select("digest", F.explode(F.arrays_zip("starts", "stops")).alias("s")).select("digest", F.col("s.starts").alias("start"), F.col("s.stops").alias("stop"))
+    spans = spans.unionByName(at_once)
     per_digest = spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     sizes = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
@@ -294,7 +328,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
 
 
 def removal_report(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
-    """Per row of docs: bytes, removed bytes and runs, and SHA-256 of what is left.
+    """Per row of docs: bytes, removed bytes and runs, SHA-256 of what is left, and ``text``, what is left in whole characters.
 
     Removed is every byte of a ``length``-byte string that also starts anywhere
     else, in the same document or another one. Texts are their UTF-8 bytes,
@@ -302,25 +336,33 @@ def removal_report(docs: DataFrame, length: int = 400, group: int = GROUP) -> Da
     doc_ids are documents of their own.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    texts, spans = repeated_spans(docs, length, group)
-    spans = scratch.write(spans, "per_text")
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for digest, text, marks in zip(frame["digest"], frame["text"], frame["spans"], strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                merged = _merge([tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in marks])
-                rows.append((digest, sum(b - a for a, b in merged), len(merged), hashlib.sha256(_cut(data, merged)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["digest", "n_removed", "n_spans", "kept_sha256"])
+    _, spans = repeated_spans(docs, length, group)
+    spans = scratch.write(spans.select(F.col("digest").alias("_digest"), "copies", "spans"), "per_text")
+    schema = "n_removed long, n_spans long, kept_sha256 string, text string"
 
-    alone = spans.where("copies = 1").select("digest", F.col("doc_id").alias("_id"), "spans")
-    bodies = docs.select("doc_id", "text").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    partly = bodies.join(alone, "digest").select("digest", "text", "spans").mapInPandas(cut, "digest binary, n_removed long, n_spans long, kept_sha256 string")
-    wholly = spans.where("copies > 1").select("digest", F.when(F.col("n_bytes") >= length, F.col("n_bytes")).alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    out = texts.join(partly.unionByName(wholly), "digest", "left")
+    def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, m in zip(text, marks, strict=True):
+            if t is None or m is None:
+                rows.append((None, None, None, None))
+                continue
+            data, merged = t.encode("utf-8", "replace"), _merge(_pairs(m))
+            left = _cut(data, _whole_characters(data, merged)).decode("utf-8", "replace")
+            rows.append((sum(b - a for a, b in merged), len(merged), hashlib.sha256(_cut(data, merged)).hexdigest(), left))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "text"])
+
+    cut = F.pandas_udf(cut, schema)
+    body = F.coalesce("text", F.lit(""))
+    marked = docs.select("doc_id", body.alias("text"), F.sha2(body, 256).alias("sha")).withColumn("_digest", F.unhex("sha")).join(spans, "_digest", "left")
+    partly, wholly = F.col("copies") == 1, F.col("copies") > 1  # only texts that are cut go to Python
+    done = marked.withColumn("cut", cut(F.when(partly, F.col("text")), F.when(partly, F.col("spans"))))
+    size = F.octet_length("text").cast("long")
+    choose = lambda name, whole, none: F.when(partly, F.col(f"cut.{name}")).when(wholly, whole).otherwise(none).alias(name)
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"))
+    return done.select(
+        "doc_id", size.alias("n_bytes"), choose("n_removed", size, zero), choose("n_spans", F.lit(1).cast("long"), zero),
+        choose("kept_sha256", F.sha2(F.lit(""), 256), F.col("sha")), choose("text", F.lit(""), F.col("text")),
+    )
 
 
 def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
@@ -339,7 +381,7 @@ def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> D
                 out.append(t)
             else:
                 data = t.encode("utf-8", "replace")
-                out.append(_cut(data, _whole_characters(data, _merge([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in m]))).decode("utf-8", "replace"))
+                out.append(_cut(data, _whole_characters(data, _merge(_pairs(m)))).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
     cut = F.pandas_udf(cut, "string")
