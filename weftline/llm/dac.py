@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,6 +38,8 @@ FILE_IDS = 1 << 24
 REMEMBERED = 1_000_000
 #: A space after a non-space always starts a new unit of the tokenizer.
 UNIT = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
+#: Texts in which a space follows white space; all others are cut at every space.
+ODD = re.compile(r"[\s\x1c-\x1f] ")
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -128,23 +132,56 @@ class Encoder:
         raw, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
         self.known.update((u, raw[a:b]) for u, a, b in zip(units, starts.tolist(), ends, strict=True))
 
+    def _units(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """All units but the first of each text, how many a text has, and the first units."""
+        strange = [ODD.search(text) is not None for text in texts]
+        lists = pc.split_pattern(pa.array([t for t, s in zip(texts, strange, strict=True) if not s], pa.string()), " ")
+        offsets, flat = lists.offsets.to_numpy(), lists.flatten()
+        later = np.ones(len(flat), bool)
+        later[offsets[:-1] - offsets[0]] = False  # a text has one unit at least
+        kept, begun, counts = flat.filter(pa.array(later)), flat.filter(pa.array(~later)).to_pylist(), (np.diff(offsets) - 1).tolist()
+        if not any(strange):
+            return kept, np.array(counts), begun
+        plain, at, words, firsts, sizes = iter(zip(begun, counts, strict=True)), 0, [], [], []
+        for text, s in zip(texts, strange, strict=True):
+            if s:
+                first, *units = UNIT.split(text)
+                words.append(pa.array(units, pa.string()))
+                n = len(units)
+            else:
+                first, n = next(plain)
+                words.append(kept.slice(at, n))
+                at += n
+            firsts.append(first)
+            sizes.append(n)
+        return pa.concat_arrays(words), np.array(sizes), firsts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, cut = self.known, []
-        for text in texts:
-            units = text.split(" ")
-            if any(not u or u[-1].isspace() for u in units[1:] if u not in known) or units[0] and units[0][-1].isspace():
-                units = UNIT.split(text)
-            cut.append(units)
-        new = list({u for units in cut for u in units[1:] if u not in known})
+        known = self.known
+        flat, sizes, firsts = self._units(texts)
+        coded = flat.dictionary_encode()
+        words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(known.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        new = [words[k] for k in missing]
         plain = [u for u in new if " " not in u]
         for at in range(0, len(plain), 500):
             self._learn(plain[at : at + 500])
         known.update((u, self._plain(f" {u}")) for u in new if " " in u)
-        get = known.__getitem__
-        return [(self._plain(units[0]) if units[0] else b"") + b"".join(map(get, units[1:])) for units in cut]
+        for k in missing:
+            ids[k] = known[words[k]]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
+        each = length[place]
+        stop = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+        out = pool[np.repeat(start[place] - stop[:-1], each) + np.arange(stop[-1])]
+        ends = stop[np.cumsum(sizes)].tolist()
+        return [(self._plain(first) if first else b"") + out[a:b].tobytes() for first, a, b in zip(firsts, [0, *ends[:-1]], ends, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,7 +193,7 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _batches(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _batches(texts: list[str], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t)
