@@ -61,3 +61,18 @@ def test_a_run_of_one_byte_has_few_anchors():
     data = b"a" * (20 << 20)
     place, first, last, spans = suffixes.anchors(data, 400)
     assert len(place) < 100 and suffixes._merge(spans) == [(0, len(data))]
+
+
+def test_long_copies_of_items(spark):
+    """Cost follows the length of a copied text, and so do the rows."""
+    import random
+
+    from fixtures import SCHEMA, sentence
+    from test_tables import brute_contamination
+
+    from weftline.llm import decontaminate
+
+    item = sentence(random.Random(3), 20_000)
+    rows, items = [(1, item, "en", "s", 1), (2, f"{item} more", "en", "s", 1)], [(1, item), (2, "word"), (3, "nowhere at all")]
+    got = decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_contamination(rows, items)
