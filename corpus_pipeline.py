@@ -25,22 +25,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose doc_id names the group.
+    """One document of each near-duplicate group, the one with the smallest doc_id.
 
     Near duplicates have a Jaccard similarity of 0.8 or more over five-word
-    shingles, exactly; SimHash at a few bits would miss most of them.
-    Of rows that share that doc_id one stays, whatever their other columns; rows
-    without a doc_id are kept, as no group can name them.
+    shingles, exactly; SimHash at a few bits would miss most of them. A row is
+    named by its doc_id and text, so rows that share the doc_id alone are
+    documents of their own; those that share both are copies, of which one
+    stays. Rows without a doc_id come after all others in a group.
     """
-    groups = near_copies.copy_groups(docs, shingle=5, percent=80).select("doc_id", F.col("component_id").alias("_group"))
-    others = groups.where("doc_id != _group").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    name = F.concat_ws(":", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("none")), F.xxhash64("text").cast("string"))
+    named = docs.withColumn("_name", name)
+    groups = near_copies.copy_groups(named.select(F.col("_name").alias("doc_id"), "text"), shingle=5, percent=80)
+    others = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_name")).distinct()
+    return named.join(others, "_name", "left_anti").dropDuplicates(["_name"]).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that also stand elsewhere, n_chars with them; a document that loses all of its text goes."""
-    cut = suffixes.without_repeats(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts without the passages that also stand elsewhere, n_chars (if there) with them; a document that loses all of its text, or has none (null or blank), goes."""
+    cut = suffixes.without_repeats(docs, length=PASSAGE_BYTES)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where(F.col("text").rlike(r"\S"))
 
 
@@ -50,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids, round_trip): SentencePiece ids, and whether they decode to the text."""
+    """(doc_id, lang, source, n_pieces, ids, round_trip): SentencePiece ids, and whether they decode to the text (null: as the empty text, without ids)."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     plain = F.coalesce(F.replace("text", F.lit(pieces.SPACE), F.lit(" ")), F.lit(""))
     encoded = pieces.encode(docs.select("doc_id", "lang", "source", F.sha2(plain, 256).alias("_sha"), "text"), model)
