@@ -61,3 +61,13 @@ def test_stage_drops_near_copies(spark):
     rows = [r for r in planted() if r[0] is not None and r[0] >= 1000]
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()}
     assert kept == {component for _, component in brute_copies(rows)}
+
+
+def test_stage_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (20, b, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (3, None, "en", "s", None), (4, "", "en", "s", 0)]
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (1, b), (None, c), (3, None)])

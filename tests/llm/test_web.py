@@ -214,7 +214,8 @@ def test_pipeline(spark, tmp_path):
     import random
 
     import corpus_pipeline
-    from test_tables import brute_contamination, brute_fingerprint, brute_groups
+    from test_near_copies import brute_copies
+    from test_tables import brute_contamination
 
     rng = random.Random(4)
     rows = [r for r in texts(9) if r[0] is not None]
@@ -226,8 +227,8 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     now = [r for r in rows if language.LETTER.search(r[1] or "")]
-    groups = brute_groups([(r[0], brute_fingerprint(r[1])) for r in now], 4)
-    now = [r for r, (d, _, c) in zip(now, groups, strict=True) if d == c]
+    stay = {d for d, c in brute_copies(now) if d == c}
+    now = [r for r in now if r[0] in stay]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for (name, stage), _ in zip(corpus_pipeline.STAGES[:2], range(2), strict=True):
         docs = stage(spark, docs, str(tmp_path))

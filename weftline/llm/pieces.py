@@ -94,8 +94,10 @@ class Merger:
     """Piece ids of units by merge ranks, with bytes for characters that have no piece."""
 
     def __init__(self, rows: list[tuple[int, str, float, int | None]]):
+        if max((k for k, *_ in rows), default=0) >= 1 << 16:
+            raise ValueError("piece ids above 65535 do not fit in 16 bits")
         self.score = {p: s for _, p, s, b in rows if b is None}
-        self.id = {p: np.uint16(k).tobytes() if k < 1 << 16 else None for k, p, _, b in rows if b is None}
+        self.id = {p: np.uint16(k).tobytes() for k, p, _, b in rows if b is None}
         self.byte = {b: np.uint16(k).tobytes() for k, _, _, b in rows if b is not None}
         self.known: dict[str, bytes] = {}
 
