@@ -86,27 +86,46 @@ def bounds(model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known, middle, middle[known].mean()), spread
 
 
-def in_bounds(model: np.ndarray, found: list[np.ndarray]) -> list[bool]:
-    """Whether each text, given by its trigrams, is as likely as texts of its likeliest language are; short texts get two deviations."""
+def mean_loglik(model: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Mean log likelihood of a text's trigrams, by language (none: zeros); long texts are counted first, so memory does not grow with them."""
+    if not len(features):
+        return np.zeros(model.shape[1])
+    if len(features) < len(model):
+        return model[features].mean(axis=0)
+    return np.bincount(features, minlength=len(model)) @ model / len(features)
+
+
+def _within(model: np.ndarray, means: list[np.ndarray], sizes: list[int]) -> list[bool]:
+    """Whether each text, given by its mean log likelihoods and trigrams, is as likely as texts of its likeliest language are; short texts get two deviations."""
     least, spread = bounds(model)
     out = []
-    for f in found:
-        mean = model[f].mean(axis=0) if len(f) else least
+    for mean, n in zip(means, sizes, strict=True):
+        mean = mean if n else least
         k = mean.argmax()
-        out.append(bool(mean[k] >= least[k] - 2 * spread[k] / np.sqrt(max(len(f) / 3, 1))))  # trigrams overlap
+        out.append(bool(mean[k] >= least[k] - 2 * spread[k] / np.sqrt(max(n / 3, 1))))  # trigrams overlap
     return out
 
 
+def in_bounds(model: np.ndarray, found: list[np.ndarray]) -> list[bool]:
+    """``_within`` for texts given by their trigrams."""
+    return _within(model, [mean_loglik(model, f) for f in found], [len(f) for f in found])
+
+
 def text_likelihoods(rows: DataFrame, model: np.ndarray, is_html: bool) -> DataFrame:
     """rows without ``text``, with ``loglik`` (an array, by language), ``letters`` (whether the text has any) and ``known`` (whether it is in bounds for a language)."""
     schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("letters", T.BooleanType()), T.StructField("known", T.BooleanType())])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [visible_text(t) if is_html else t or "" for t in frame["text"]]
-            found = [trigrams(t) for t in texts]
-            loglik = [(model[f].mean(axis=0) * min(len(f), TRIGRAMS) if len(f) else np.zeros(model.shape[1])).tolist() for f in found]
-            yield frame.drop(columns="text").assign(loglik=loglik, letters=[LETTER.search(t) is not None for t in texts], known=in_bounds(model, found))[schema.names]
+            means, sizes, letters = [], [], []
+            for raw in frame["text"]:
+                text = visible_text(raw) if is_html else raw or ""
+                found = trigrams(text)
+                means.append(mean_loglik(model, found))
+                sizes.append(len(found))
+                letters.append(LETTER.search(text) is not None)
+            loglik = [(m * min(n, TRIGRAMS)).tolist() for m, n in zip(means, sizes, strict=True)]
+            yield frame.drop(columns="text").assign(loglik=loglik, letters=letters, known=_within(model, means, sizes))[schema.names]
 
     return rows.mapInPandas(score, schema)
 

@@ -21,7 +21,7 @@ _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 #: Documents and bytes of shingle hashes of one block of candidates; a task holds two blocks.
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -51,9 +51,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star for every component of the sets with a Jaccard similarity of ``percent`` / 100 or more."""
     sizes = np.array([len(s) for s in sets])
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    codes = np.split(codes, np.cumsum(sizes)[:-1])
-    mark = np.zeros(sum(len(s) for s in sets), bool)
+    values = np.unique(np.concatenate(sets))
+    codes = [np.searchsorted(values, s).astype(np.int32) for s in sets]
+    mark = np.zeros(len(values), bool)
     left, links = np.arange(len(sets)), ([], [])
     while len(left):
         group, todo, left = [left[0]], [left[0]], left[1:]
