@@ -64,7 +64,7 @@ def _windows(df: DataFrame, starts: Column, window: int) -> DataFrame:
     return df.withColumn("_x", F.explode_outer(rows)).where("_x is not null").select("*", "_x.*").drop("_x", "w")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: the words inside windows of ``benchmark(item_id, text)``.
 
     A window is ``window`` consecutive words of an item; an item of fewer words
@@ -82,8 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     equal results; rows that share only the doc_id are told apart. An item
     without an item_id marks words but is not listed.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+    scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = scratch.write(benchmark.select("item_id", words(F.col("text")).alias("w")), "items").where(F.size("w") > 0)
     spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.struct(i.alias("start"), F.least(F.size("w"), F.lit(window)).alias("length")))
     item_windows = scratch.write(_windows(items, spans, window).select("item_id", "window", "length").distinct(), "item_windows")
@@ -119,7 +118,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **how).where("contaminated").select("key").distinct()
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    bad = scratch.write(contamination(docs, benchmark, scratch=scratch, **how).where("contaminated").select("key").distinct(), "bad")
+    scratch.keep("bad")
     return docs.withColumn("_key", document_key()).join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
 
 

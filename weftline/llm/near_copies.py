@@ -35,17 +35,30 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) - (1 << 63) for k in range(BANDS)]
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, bands, shingles) for each row of docs: shingles is the sorted set of hashes, digest names it."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, digest, bands) for each row of docs: digest names the set of shingle hashes."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
-            raw = [s.tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "digest": [xxhash.xxh128_hexdigest(r) for r in raw], "bands": [bands(s) for s in sets], "shingles": raw})
+            rows = []
+            for text in frame["text"]:
+                hashes = np.unique(shingle_hashes(text, shingle))
+                rows.append((xxhash.xxh128_hexdigest(hashes.tobytes()), bands(hashes)))
+            yield pd.concat([frame[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "bands"])], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(batches, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(batches, schema)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(digest, shingles) for each row of ``texts(text)``: the sorted set of shingle hashes and its name."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            raw = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"digest": [xxhash.xxh128_hexdigest(r) for r in raw], "shingles": raw})
+
+    return texts.mapInPandas(batches, "digest string, shingles binary")
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +123,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     similarity of ``percent`` / 100 or more.
 
     Equal sets are one class. Classes that share a MinHash band are candidates;
-    each class's set goes once to its component of candidates, where pairs are
+    each candidate's set goes once to its component of candidates, where pairs are
     compared exactly. Components above a block are cut into blocks, and each
     pair of blocks is a task of its own that returns spanning links. Null and
     wordless texts have the empty set. component_id is null where nobody in the
@@ -118,14 +131,19 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
-    own = scratch.write(shingle_sets(docs, shingle).withColumn("node", F.monotonically_increasing_id()), "sets")
-    classes = scratch.write(own.groupBy("digest").agg(F.min("node").alias("node")), "classes")
+    own = scratch.write(signatures(docs, shingle).withColumn("node", F.monotonically_increasing_id()), "own")
+    classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash")).alias("c")).select("digest", "c.*"), "classes")
     keys = own.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     keys = scratch.write(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     near = scratch.write(keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near")
-    candidates = scratch.write(connected_components(near), "candidates")
-    members = scratch.write(own.select("node", "shingles").join(candidates, "node"), "members")
+    candidates = scratch.write(connected_components(near).join(classes, "node"), "candidates")
+    scratch.drop("keys")
+    scratch.drop("near")
+    # Sets are made anew for candidates alone: those of all documents would take more room than the texts.
+    wanted = broadcast_up_to(candidates.select("text_hash").distinct(), 200_000)
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
+    members = scratch.write(shingle_sets(texts, shingle).dropDuplicates(["digest"]).join(candidates, "digest").select("node", "component", "shingles"), "members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
     sizes = broadcast_up_to(scratch.write(sizes, "sizes"), 100_000)
     cut = members.join(sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -135,6 +153,8 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     key = ["component", "left", "right"]
     links = scratch.write(pairs.repartition(tasks(spark), *key).sortWithinPartitions(*key).mapInPandas(_block_links(percent), "a long, b long").distinct(), "links")
     group = connected_components(links)
-    rows = own.select("doc_id", "digest").join(classes.join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("_group")), "digest").select("doc_id", "_group")
+    rows = own.select("doc_id", "digest").join(classes.select("digest", "node").join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("_group")), "digest").select("doc_id", "_group")
     names = rows.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "_group").select("doc_id", "component_id")
+    out = scratch.write(rows.join(names, "_group").select("doc_id", "component_id"), "groups")
+    scratch.keep("groups")
+    return out

@@ -32,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         small_batches(spark)
         self.spark = spark
+        self.written: set[str] = set()
         self.root = f"{shared_dir(spark)}/weftline-{job}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -39,10 +40,17 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns the table as read back (with the same schema, also when empty)."""
+        self.written.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, once what was made of the others is written."""
+        for name in self.written - set(names):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.written.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -267,9 +267,8 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): ``texts(doc_id, digest, n_bytes)`` has a row for each row of docs,
-    ``spans(digest, doc_id, copies, spans)`` the merged repeated spans of each distinct text.
+def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
+    """(digest, copies, spans): the repeated spans of each distinct text of docs that has any; a table, all others are dropped.
 
     Equal texts (by SHA-256) are one class: a text with a copy is repeated as a
     whole, and one of its copies (with the smallest doc_id) stands for it, so
@@ -293,6 +292,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
     marks = one_of.select("digest", "doc_id", F.explode(F.arrays_zip("place", "first", "last", "lead")).alias("m")).select("digest", "doc_id", "m.*")
     counts = scratch.write(marks.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # read again, the join deals both sides itself and can split a hot lead
     found = scratch.write(marks.join(counts, "lead"), "candidates")
+    scratch.drop("counts")
     buckets = 4 * tasks(spark)
     splitters = np.array(found.agg(F.percentile_approx("lead", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or [], np.int64)
 
@@ -324,7 +324,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = GROUP) -> tu
     sizes = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     # A text that has a copy is repeated from end to end, whatever else it shares.
     out = sizes.join(per_digest, "digest", "left").withColumn("spans", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), whole).otherwise(F.col("spans")))
-    return texts, out.where(F.size("spans") > 0).select("digest", "doc_id", "copies", "n_bytes", "spans")
+    out = scratch.write(out.where(F.size("spans") > 0).select("digest", "copies", "spans"), "per_text")
+    scratch.keep("per_text")
+    return out
 
 
 def removal_report(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
@@ -335,9 +337,7 @@ def removal_report(docs: DataFrame, length: int = 400, group: int = GROUP) -> Da
     null is empty; texts below ``length`` bytes lose nothing. Rows with equal
     doc_ids are documents of their own.
     """
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    _, spans = repeated_spans(docs, length, group)
-    spans = scratch.write(spans.select(F.col("digest").alias("_digest"), "copies", "spans"), "per_text")
+    spans = repeated_spans(docs, length, group).withColumnRenamed("digest", "_digest")
     schema = "n_removed long, n_spans long, kept_sha256 string, text string"
 
     def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
@@ -370,9 +370,7 @@ def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> D
 
     Of equal texts each loses all of itself, as in the report; a null text stays null.
     """
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    _, spans = repeated_spans(docs, length, group)
-    spans = scratch.write(spans.select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")), "per_text")
+    spans = repeated_spans(docs, length, group).select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
 
     def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
         out = []
