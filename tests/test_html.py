@@ -48,3 +48,10 @@ def test_image_modes(spark):
     found = html.page_parts(pages)
     assert html.web_metadata(pages, found).first().image == "https://a.example/a.png"
     assert html.web_metadata(pages, found, mode="reference").first().image == "https://a.example/12"
+
+
+def test_an_icon_image_is_the_favicon(spark):
+    page = '<html><head><meta property="og:image" content="/img/apple-touch-icon.png"><meta property="og:image" content="/img/big.png"></head><body></body></html>'
+    pages = spark.createDataFrame([(1, "https://a.org/x", page)], "page_id long, url string, html string")
+    row = html.web_metadata(pages, html.page_parts(pages)).first()
+    assert (row.favicon, row.image) == ("https://a.org/img/apple-touch-icon.png", "https://a.org/img/big.png")

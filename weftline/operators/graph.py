@@ -107,6 +107,8 @@ def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_de
     steps = edges.select("src", "pos", "dst").join(wanted, "dst", "left_semi")
     visited = frontier = spark.createDataFrame([(start, 0, None, [])], "node_id long, depth int, parent long, rank array<int>")
     root = f"{shared_dir(spark)}/weftline-explore-{uuid.uuid4().hex[:12]}"
+    steps.write.parquet(f"{root}/steps")  # each round joins them
+    steps = spark.read.schema(steps.schema).parquet(f"{root}/steps")
     for depth in range(1, max_depth + 1):
         found = frontier.select(F.col("node_id").alias("src"), "rank").join(steps, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m"))
         fresh = found.join(visited.select(F.col("node_id").alias("dst")), "dst", "left_anti")

@@ -8,6 +8,7 @@ lists directly inside a list.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import clean_text
 from weftline.functions.urls import resolve_asset, resolve_href
 from weftline.schemas import PARTS
+from weftline.plans.shared import shared_dir
 
 # Fixed values of the HTML standard: elements without content, and start tags that end an open paragraph.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -180,6 +182,14 @@ def extract_anchors(found: DataFrame) -> DataFrame:
     return _kind(found, "Anchor").select("page_id", "pos", F.col("value").alias("href"), F.col("text").alias("anchor_text"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def extract_links(pages: DataFrame, anchors: DataFrame, known_domains: DataFrame | None = None) -> DataFrame:
     """Distinct (page_id, domain, path, query) that anchors lead to.
 
@@ -190,6 +200,7 @@ def extract_links(pages: DataFrame, anchors: DataFrame, known_domains: DataFrame
     links = on.select("page_id", F.col("href").startswith("https://").alias("absolute"), resolve_href(F.col("base"), F.col("href")).alias("l")).select("page_id", "absolute", "l.*").where("domain is not null")
     from weftline.functions.urls import parse_link
 
+    links = _written(links, "links")  # used three times: pages are parsed once
     known = links.where("absolute").select("domain").union(pages.select(parse_link(F.col("url"))["domain"].alias("domain")))
     if known_domains is not None:
         known = known.union(known_domains.select("domain"))
@@ -204,21 +215,28 @@ METADATA = (
     ("updated_time", "modified_time", "last"), ("author", "author", "last"), ("creator", "creator", "last"), ("lang", "language", "last"), ("locale", "locale", "last"),
 )
 
+#: What the address of an icon holds.
+ICON = r"fav|apple-touch|\.ico"
+
 
 def web_metadata(pages: DataFrame, found: DataFrame, mode: str = "default") -> DataFrame:
     """One row of metadata for each page of ``pages(page_id, url, html)`` that is HTML.
 
     ``url`` is the page's own. Image names with ``width`` or ``height`` are
     skipped; ``mode="reference"`` takes those and no others, as image sources.
+    An image whose address looks like an icon's (``ICON``) counts as the favicon.
     """
     low = F.lower("name")
     field = F.coalesce(*(F.when(low.contains(part), F.lit(name)) for part, name, _ in METADATA))
+    icon = F.col("value").rlike(ICON)
     sized = low.contains("width") | low.contains("height")
     base = html_gate(pages).select("page_id", "url")
     rows = _kind(found, "Meta").where("value is not null and value != ''").select("page_id", "pos", field.alias("field"), "name", "value", sized.alias("sized"))
     rows = rows.where((F.col("field") != "image") | (F.col("sized") if mode == "reference" else ~F.col("sized")))
-    linked = rows.where(F.col("field").isin("image", "favicon")).join(base, "page_id").select("page_id", "pos", "field", resolve_asset(F.col("url"), F.col("value")).alias("value"))
-    rows = rows.where(~F.col("field").isin("image", "favicon")).select("page_id", "pos", "field", "value").unionByName(linked)
+    asset = F.col("field").isin("image", "favicon")
+    rows = rows.withColumn("field", F.when((F.col("field") == "image") & icon, "favicon").otherwise(F.col("field"))).join(base, "page_id")
+    value = F.when(asset, resolve_asset(F.when(asset, F.col("url")), F.when(asset, F.col("value")))).otherwise(F.col("value"))
+    rows = rows.select("page_id", "pos", "field", value.alias("value"))
     pick = {"first": F.min_by, "last": F.max_by}
     rules = {name: rule for _, name, rule in METADATA if name not in ("url", "tags")}
     own = [pick[rule](F.when(F.col("field") == name, F.col("value")), F.when(F.col("field") == name, F.col("pos"))).alias(name) for name, rule in sorted(rules.items())]
