@@ -1,4 +1,4 @@
-"""Groups of near copies: MinHash candidates, verified by the exact Jaccard similarity of word shingles."""
+"""Groups of near copies: SimHash and MinHash candidates, verified by the exact Jaccard similarity of word shingles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.components import connected_components
-from weftline.llm.simhash import SEED, shingle_hashes
+from weftline.llm.simhash import SEED, fingerprint_links, fingerprint_of, shingle_hashes
 from weftline.llm.storage import Scratch, broadcast_up_to, tasks
 
 #: A pair of similarity J shares a band with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9995 at 0.8.
@@ -36,16 +36,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, digest, bands) for each row of docs: digest names the set of shingle hashes."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(doc_id, text_hash, digest, fingerprint, bands) for each row of docs: digest names the set of shingle hashes."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("fingerprint", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                hashes = np.unique(shingle_hashes(text, shingle))
-                rows.append((xxhash.xxh128_hexdigest(hashes.tobytes()), bands(hashes)))
-            yield pd.concat([frame[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "bands"])], axis=1)
+                every = shingle_hashes(text, shingle)
+                hashes = np.unique(every)
+                bits = int.from_bytes(fingerprint_of(every).to_bytes(8, "little"), "little", signed=True)
+                rows.append((xxhash.xxh128_hexdigest(hashes.tobytes()), bits, bands(hashes)))
+            yield pd.concat([frame[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "fingerprint", "bands"])], axis=1)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(batches, schema)
 
@@ -117,13 +119,24 @@ def _block_links(percent: int):
     return batches
 
 
-def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def _simhash_links(own: DataFrame, classes: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
+    """Links (a, b) between the classes' nodes over fingerprints within the distance; nodes of one fingerprint hang on its smallest."""
+    points = own.select("node", "fingerprint").join(classes.select("node"), "node", "left_semi")
+    points = scratch.write(points, "points")
+    least = points.groupBy("fingerprint").agg(F.min("node").alias("b"))
+    equal = points.join(least, "fingerprint").where("node != b").select(F.col("node").alias("a"), "b")
+    return equal.unionByName(fingerprint_links(least.withColumnRenamed("b", "node"), distance))
+
+
+def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 4) -> DataFrame:
     """(doc_id, component_id) for every row of docs: component_id is the smallest doc_id
     reachable over pairs of texts whose sets of ``shingle``-word shingles have a Jaccard
     similarity of ``percent`` / 100 or more.
 
-    Equal sets are one class. Classes that share a MinHash band are candidates;
-    each candidate's set goes once to its component of candidates, where pairs are
+    Equal sets are one class. Classes whose SimHash fingerprints differ in at most
+    ``distance`` bits are candidates, and so are those that share a MinHash band: at a
+    similarity of 0.8 two fingerprints differ in about ten bits, so SimHash alone
+    would miss most pairs there, and many more bits make its grids too fine. Each candidate's set goes once to its component of candidates, where pairs are
     compared exactly. Components above a block are cut into blocks, and each
     pair of blocks is a task of its own that returns spanning links. Null and
     wordless texts have the empty set. component_id is null where nobody in the
@@ -136,10 +149,11 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     keys = own.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     keys = scratch.write(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    near = scratch.write(keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near")
+    banded = keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    near = scratch.write(banded.unionByName(_simhash_links(own, classes, scratch, distance)).distinct(), "near")
     candidates = scratch.write(connected_components(near).join(classes, "node"), "candidates")
-    scratch.drop("keys")
-    scratch.drop("near")
+    for used in ("keys", "near", "points"):
+        scratch.drop(used)
     # Sets are made anew for candidates alone: those of all documents would take more room than the texts.
     wanted = broadcast_up_to(candidates.select("text_hash").distinct(), 200_000)
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")

@@ -39,7 +39,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash of a text's word shingles, repeats included (a null or wordless text: 0)."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes: a bit is 1 if set in over half of them."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -179,6 +183,8 @@ def fingerprint_links(points: DataFrame, distance: int = 4, bucket: int = BUCKET
         if last or not (over := cells.where(F.col("n") > bucket)).limit(1).count():
             break
         points = scratch.write(over.select("node", "fingerprint").distinct(), f"over{k}")
+        scratch.drop(f"cells{k}")
+    scratch.drop(f"cells{k}")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
