@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id.
 
     Near duplicates have a Jaccard similarity of 0.8 or more over five-word
-    shingles, exactly; SimHash at a few bits would miss most of them. A row is
+    shingles, exactly; SimHash at a few bits would miss most of them, so its
+    candidates are joined by MinHash ones before the exact check. A row is
     named by its doc_id and text, so rows that share the doc_id alone are
     documents of their own; those that share both are copies, of which one
     stays. Rows without a doc_id come after all others in a group.
