@@ -22,6 +22,8 @@ FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np
 OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 #: Documents and bytes of shingle hashes of one block of candidates; a task holds two blocks.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Keys that the classes of one group are dealt over.
+SALTS = 16
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -136,7 +138,8 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance:
     Equal sets are one class. Classes whose SimHash fingerprints differ in at most
     ``distance`` bits are candidates, and so are those that share a MinHash band: at a
     similarity of 0.8 two fingerprints differ in about ten bits, so SimHash alone
-    would miss most pairs there, and many more bits make its grids too fine. Each candidate's set goes once to its component of candidates, where pairs are
+    would miss most pairs there, and many more bits make its grids too fine. Each
+    candidate's set goes once to its component of candidates, where pairs are
     compared exactly. Components above a block are cut into blocks, and each
     pair of blocks is a task of its own that returns spanning links. Null and
     wordless texts have the empty set. component_id is null where nobody in the
@@ -145,7 +148,7 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance:
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     own = scratch.write(signatures(docs, shingle).withColumn("node", F.monotonically_increasing_id()), "own")
-    classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash")).alias("c")).select("digest", "c.*"), "classes")
+    classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash")).alias("c"), F.min("doc_id").alias("least")).select("digest", "c.*", "least"), "classes")
     keys = own.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     keys = scratch.write(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -167,8 +170,11 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance:
     key = ["component", "left", "right"]
     links = scratch.write(pairs.repartition(tasks(spark), *key).sortWithinPartitions(*key).mapInPandas(_block_links(percent), "a long, b long").distinct(), "links")
     group = connected_components(links)
-    rows = own.select("doc_id", "digest").join(classes.select("digest", "node").join(group, "node", "left").select("digest", F.coalesce("component", "node").alias("_group")), "digest").select("doc_id", "_group")
-    names = rows.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
-    out = scratch.write(rows.join(names, "_group").select("doc_id", "component_id"), "groups")
+    # A group's name is found over its classes and sent to them in salted copies, so that a large group is many keys.
+    linked = classes.join(group, "node").withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    placed = linked.join(names, ["component", "_salt"]).select("digest", "component_id")
+    named = classes.select("digest", "least").join(placed, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    out = scratch.write(own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id"), "groups")
     scratch.keep("groups")
     return out
