@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import crawl, graph, search
@@ -45,6 +46,30 @@ def test_stream_admission_over_batches(spark, tmp_path):
     assert [got[k] for k in range(len(ROWS))] == WANT
 
 
+def test_batches_admitted_by_url(spark, tmp_path):
+    df = requests(spark, ROWS)
+    for k, part in enumerate((df.where("request_id < 3"), df.where("request_id between 3 and 5"), df.where("request_id > 5"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    save = lambda b, k: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")
+
+    def twice(batch, k):  # as after a failure
+        for _ in range(2):
+            jobs.admit_batches(f"{tmp_path}/state", save)(batch, k)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {r.request_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert [got[k] for k in range(len(ROWS))] == WANT
+
+
+def test_labels_and_terms_that_are_unknown(spark):
+    nodes = spark.createDataFrame([(1, ["SearchTerm"], "oslo"), (2, ["Title"], "Oslo")], "node_id long, labels array<string>, text string")
+    assert [r.node_id for r in search.saved_search(nodes, search.saved_term(nodes, 1)).collect()] == [2]
+    for call in (lambda: search.saved_term(nodes, 2), lambda: search.saved_term(nodes, 3), lambda: graph.nodes_with_label(nodes, "Titel")):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_flags_set_or_toggled(spark):
     links = spark.createDataFrame([("a", "/", None, 8), ("a", "/", "q", 0)], "domain string, path string, query string, flags int")
     failed = links.select("domain", "path", "query")
@@ -80,8 +105,8 @@ def test_explore_takes_the_first_way(spark):
 
 def test_many_terms_use_grams(spark, monkeypatch):
     parts = spark.createDataFrame([(1, "The Nile and Oslo"), (2, "x"), (3, None), (4, "oslo")], "node_id long, text string")
-    terms = spark.createDataFrame([("oslo",), ("NILE",), ("x",), ("zzz",)], "term string")
-    want = {("oslo", 1), ("oslo", 4), ("NILE", 1), ("x", 2)}
+    terms = spark.createDataFrame([("oslo",), ("NILE",), ("x",), ("zzz",), ("",), ("Ni",)], "term string")
+    want = {("oslo", 1), ("oslo", 4), ("NILE", 1), ("x", 2), ("", 1), ("", 2), ("", 4), ("Ni", 1)}
     assert {tuple(r) for r in search.saved_search_all(parts, terms).collect()} == want
     monkeypatch.setattr(search, "FEW_TERMS", 1)
     assert {tuple(r) for r in search.saved_search_all(parts, terms).collect()} == want

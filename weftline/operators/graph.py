@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import full_url
-from weftline.plans.shared import shared_dir
-from weftline.schemas import EXPLORED_LABELS, WORKFLOW_LABELS
+from weftline.plans.shared import drop, shared_dir
+from weftline.schemas import EXPLORED_LABELS, NODE_LABELS, WORKFLOW_LABELS
 
 
 def _any_label(labels: tuple[str, ...]) -> Column:
@@ -17,6 +17,9 @@ def _any_label(labels: tuple[str, ...]) -> Column:
 
 
 def nodes_with_label(nodes: DataFrame, label: str) -> DataFrame:
+    """Nodes that have the label, in id order; a label that no node can have is an error."""
+    if label not in NODE_LABELS:
+        raise ValueError(f"unknown label: {label}")
     return nodes.where(F.array_contains("labels", label)).orderBy("node_id")
 
 
@@ -116,6 +119,7 @@ def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_de
         level.write.parquet(f"{root}/{depth}")
         frontier = spark.read.schema(level.schema).parquet(f"{root}/{depth}")
         visited = visited.unionByName(frontier)
+    drop(spark, f"{root}/steps")
     return visited
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import contains_any
@@ -17,25 +17,40 @@ def saved_search(nodes: DataFrame, term: str) -> DataFrame:
     return nodes.where(shown & F.lower("text").contains(term.lower())).orderBy("node_id")
 
 
+def saved_term(nodes: DataFrame, node_id: int) -> str:
+    """The text of a SearchTerm node, to search for; any other node, or none, is an error."""
+    found = nodes.where((F.col("node_id") == node_id) & F.array_contains("labels", "SearchTerm")).select("text").first()
+    if found is None:
+        raise ValueError(f"node {node_id} is no search term")
+    return found.text
+
+
 def saved_search_all(parts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, node_id) for each of ``terms(term)`` and each of ``parts(node_id, text)`` that contains it.
 
     Up to FEW_TERMS terms (counted first) go to every task. More are joined on
-    three-letter grams: a term's rarest gram must be in a text, and the pair is
-    then tested in full; terms below three letters go to every task still, of
-    which there are few.
+    grams of three letters: a term's rarest gram must be in a text, and the pair is
+    then tested in full. A shorter term, even an empty one, is a gram itself. Only
+    ids and grams are joined; texts are fetched for the pairs that are left.
     """
     few = terms.select("term").distinct()
     if few.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         return parts.join(F.broadcast(few), F.lower("text").contains(F.lower("term"))).select("term", "node_id")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.lower(c).substr(i, F.lit(3))))
-    long_terms = few.where(F.length("term") >= 3).select("term", F.explode(grams(F.col("term"))).alias("gram"))
-    of_terms = long_terms.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = long_terms.join(of_terms, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    of_parts = parts.where(F.length("text") >= 3).select("node_id", "text", F.explode(grams(F.col("text"))).alias("gram"))
-    hits = of_parts.join(rarest, "gram").where(F.lower("text").contains(F.lower("term"))).select("term", "node_id")
-    short = few.where(F.length("term") < 3)
-    return hits.unionByName(parts.join(F.broadcast(short), F.lower("text").contains(F.lower("term"))).select("term", "node_id"))
+    low = few.withColumn("low", F.lower("term"))
+    n = F.length("low")
+    of_terms = low.select("term", F.explode(F.when(n < 3, F.array("low")).otherwise(_grams(F.col("low"), 3))).alias("gram"))
+    counts = of_terms.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_terms.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    texts = parts.select("node_id", F.lower("text").alias("low"))
+    of_texts = texts.select("node_id", F.explode(F.flatten(F.array(F.array(F.lit("")), *(_grams(F.col("low"), k) for k in (1, 2, 3))))).alias("gram"))
+    pairs = of_texts.join(rarest, "gram").select("term", "node_id").distinct()
+    return pairs.join(texts, "node_id").where(F.col("low").contains(F.lower("term"))).select("term", "node_id")
+
+
+def _grams(text: Column, letters: int) -> Column:
+    """Distinct grams of a text of so many letters (a shorter text has none)."""
+    places = F.sequence(F.lit(1), F.length(text) - letters + 1)
+    return F.when(F.length(text) >= letters, F.array_distinct(F.transform(places, lambda i: text.substr(i, F.lit(letters))))).otherwise(F.array().cast("array<string>"))
 
 
 def search_with_context(parts: DataFrame, terms: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Id of a search term beside the documents.
+TERM_ID = -1
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +53,10 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit("docs").alias("project_id"), F.col("doc_id").alias("node_id"), F.array(F.lit("Paragraph"), F.lit("Partial")).alias("labels"), "text")
 
 
+def search_term_node(spark: SparkSession, term: str) -> DataFrame:
+    return spark.createDataFrame([("docs", TERM_ID, ["SearchTerm"], term)], "project_id string, node_id long, labels array<string>, text string")
+
+
 def metadata_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose heads carry metadata of many kinds, made from page ids."""
     n = F.col("page_id").cast("string")

@@ -326,7 +326,7 @@ SELECT node_id FROM f WHERE first UNION ALL SELECT node_id FROM (SELECT node_id,
 
 @query(FRONTIER_SQL)
 def select_frontier(spark, d):
-    return crawl.select_frontier(testgraph.nodes(spark, d), F.lit("1995-01-01").cast("timestamp")).select("node_id")
+    return crawl.select_frontier(testgraph.nodes(spark, d), F.lit("2024-06-01").cast("timestamp")).select("node_id")
 
 
 @query(f"WITH {URL_SQL} SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 16 | 1 WHEN 1 THEN page_id % 16 | 8 ELSE page_id % 16 END AS flags FROM u")
@@ -360,9 +360,9 @@ def dedup_links(spark, d):
     return crawl.dedup_links(twice).drop("project_id")
 
 
-@query("SELECT DISTINCT p_name AS term FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0)")
+@query("SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_size AS term FROM part WHERE p_name || ' ' || p_brand || ' ' || p_size NOT IN (SELECT p_name || ' ' || p_brand || ' ' || p_size FROM part WHERE p_partkey % 2 = 0)")
 def dedup_search_terms(spark, d):
-    terms = T(spark, d, "part").select(F.lit("p").alias("project_id"), C("p_name").alias("term"), "p_partkey")
+    terms = T(spark, d, "part").select(F.lit("p").alias("project_id"), F.concat_ws(" ", "p_name", "p_brand", C("p_size").cast("string")).alias("term"), "p_partkey")
     return crawl.dedup_search_terms(terms, terms.where("p_partkey % 2 = 0")).select("term")
 
 
@@ -602,7 +602,8 @@ def crawl_admission(spark, d):
 
 @query("SELECT doc_id AS node_id FROM documents WHERE contains(lower(text), 'license')")
 def saved_search(spark, d):
-    return search.saved_search(inputs.document_nodes(spark, d), "License").select("node_id")
+    nodes = inputs.document_nodes(spark, d).unionByName(inputs.search_term_node(spark, "License"))
+    return search.saved_search(nodes, search.saved_term(nodes, inputs.TERM_ID)).select("node_id")
 
 
 @query("SELECT n_name AS term, doc_id AS node_id FROM documents JOIN (SELECT DISTINCT lower(substr(n_name, 1, 4)) AS n_name FROM nation) ON contains(lower(text), n_name)")
@@ -708,16 +709,25 @@ def stream_pages(spark, d):
     return _run(lambda save, at: jobs.stream_pages(pages, save, at), schema, spark).select("domain", "path", "query")
 
 
+@query(f"WITH {ANCHOR_SQL} SELECT page_id, n, href, anchor_text FROM a")
+def stream_parts(spark, d):
+    """Anchors of the pages that a stream brings; each page is a project of its own, as which of two pages with one link stays is not fixed."""
+    pages = _stream(spark, d, "pages").select(C("page_id").cast("string").alias("project_id"), "page_id", "url", "html", F.timestamp_seconds(F.lit(1704067200) + C("page_id") % 60).alias("fetched_at"))
+    parts = _run(lambda save, at: jobs.stream_parts(pages, save, at), schemas.PARTS, spark)
+    return _nth(html.extract_anchors(parts)).select("page_id", "n", "href", "anchor_text")
+
+
 @query(ADMISSION_SQL)
 def stream_admission(spark, d):
     rows = _stream(spark, d, "events").select(C("event_id").alias("request_id"), C("event_type").alias("domain"), C("user_id").cast("string").alias("url"), C("ts").cast("timestamp").alias("ts"))
-    start = lambda save, at: jobs.stream_admission(rows).writeStream.foreachBatch(save).option("checkpointLocation", at).trigger(availableNow=True).start()
+    state = f"{shared_dir(spark)}/weftline-admission-{uuid.uuid4().hex[:12]}"
+    start = lambda save, at: rows.writeStream.foreachBatch(jobs.admit_batches(state, save)).option("checkpointLocation", at).trigger(availableNow=True).start()
     return _run(start, jobs.ADMISSION, spark).select("request_id", "domain", "url", "admitted")
 
 
-@query(f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE flags & 8 > 0 AND written_at < TIMESTAMP '1995-01-01' - INTERVAL 60 SECOND")
+@query(f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE flags & 8 > 0 AND written_at < TIMESTAMP '2024-06-01' - INTERVAL 60 SECOND")
 def retry_errors(spark, d):
-    return crawl.retry_errors(testgraph.nodes(spark, d), F.lit("1995-01-01").cast("timestamp")).select("node_id")
+    return crawl.retry_errors(testgraph.nodes(spark, d), F.lit("2024-06-01").cast("timestamp")).select("node_id")
 
 
 # --- limits and sets ---------------------------------------------------------------------------

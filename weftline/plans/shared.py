@@ -17,3 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = "file://" + tempfile.mkdtemp(prefix="weftline-")
     spark.conf.set("spark.checkpoint.dir", base)
     return base
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -33,6 +33,11 @@ INVERSE = {
     "RelatedTo": "RelatedTo", "ParentOf": "ChildOf", "ChildOf": "ParentOf", "ContentOf": "PathOf", "PathOf": "ContentOf", "OwnerOf": "BelongsTo",
     "BelongsTo": "OwnerOf", "Suggests": "SuggestedFor", "SuggestedFor": "Suggests", "Classifies": "ClassifiedFor", "ClassifiedFor": "Classifies",
 }
+# Labels that a node can have.
+NODE_LABELS = (
+    "AddedByUser", "AddedByAI", "AddedByWebSearch", "AddedByGliner", "Objective", "DomainName", "Link", "RobotsTxt", "Content", "Heading", "Title", "Paragraph", "ListItem", "UnorderedPoints",
+    "OrderedPoints", "Partial", "SearchTerm", "WebPage", "WebSearch", "WebMetadata", "CrawlCondition", "ProjectSettings", "CrawlerSettings", "ClassifierSettings", "Classification", "NamedEntitiesToExtract", "ExtractedNamedEntities",
+)
 # Labels that exploring a graph enters.
 EXPLORED_LABELS = ("Objective", "ProjectSettings", "CrawlerSettings", "ClassifierSettings", "Link", "DomainName", "WebSearch")
 # Labels that the workflow view starts from.

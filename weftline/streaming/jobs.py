@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.functions.urls import parse_link
+from weftline.operators.html import page_parts
+from weftline.plans.shared import drop
 
 
 def incremental_sync(rows: DataFrame, mark_ms: int | None = None) -> tuple[DataFrame, int | None]:
@@ -25,8 +27,9 @@ def stream_sync(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 
 
 def stream_links(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Distinct links of a stream of fetched pages(project_id, url, html, fetched_at); rows later than ``delay`` are dropped."""
-    links = pages.withColumn("l", parse_link(F.col("url"))).select("project_id", "l.*", "html", "fetched_at").where("domain is not null")
+    """Distinct links of a stream of fetched pages(project_id, url, html, fetched_at), with page_id if there; rows later than ``delay`` are dropped."""
+    own = [c for c in ("page_id",) if c in pages.columns]
+    links = pages.withColumn("l", parse_link(F.col("url"))).select("project_id", *own, "l.*", "html", "fetched_at").where("domain is not null")
     return links.withColumn("query", F.coalesce("query", F.lit(""))).withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["project_id", "domain", "path", "query"])
 
 
@@ -35,18 +38,74 @@ def stream_pages(pages: DataFrame, save: Callable[[DataFrame, int], None], check
     return stream_links(pages, delay).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_parts(pages: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 hour"):
+    """The same, but each micro-batch's new pages (with page_id) are parsed, and their parts handed to ``save``."""
+    found = page_parts(stream_links(pages, delay))
+    return found.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 ADMISSION = "request_id long, domain string, url string, ts timestamp, admitted boolean"
 #: First request of the domain in microseconds, and for each URL its last admission (-1: denied for good).
 STATE = "first long, urls map<string, long>"
 
 
+#: What is kept between micro-batches: each domain's first request, and each late URL's last request and whether it is denied for good.
+FIRSTS, CHAINS = "domain string, first_ts timestamp, first_id long", "domain string, url string, last_ts timestamp, denied boolean"
+
+
+def admit_batches(root: str, save: Callable[[DataFrame, int], None], gap: int = 2) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that hands ``save`` each micro-batch of requests(request_id, domain, url, ts) with ``admitted``.
+
+    The rule is that of crawl_admission. Work is dealt by (domain, url), so a hot
+    domain is spread over its URLs; of a domain only its first request is
+    kept. State tables of each batch are written under the shared folder ``root``,
+    so a batch that is run again starts from the one before it. Requests must
+    arrive in the order of their times, micro-batch by micro-batch.
+    """
+
+    def step(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+
+        def before(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{root}/{name}/{k - 1}") if k else spark.createDataFrame([], schema)
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{root}/{name}/{k}")
+            return spark.read.schema(df.schema).parquet(f"{root}/{name}/{k}")
+
+        seen = before("firsts", FIRSTS)
+        new = batch.groupBy("domain").agg(F.min(F.struct("ts", "request_id")).alias("f")).select("domain", F.col("f.ts").alias("first_ts"), F.col("f.request_id").alias("first_id"))
+        firsts = written(seen.unionByName(new.join(seen, "domain", "left_anti")), "firsts")
+        seconds = lambda later, earlier: F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000)
+        known = batch.join(firsts, "domain")
+        opens = F.col("request_id") == F.col("first_id")
+        is_late = ~opens & (seconds(F.col("ts"), F.col("first_ts")) > gap)
+        chains = before("chains", CHAINS)
+        kept = chains.select(F.lit(None).cast("long").alias("request_id"), "domain", "url", F.col("last_ts").alias("ts"), "denied")
+        rows = kept.unionByName(known.where(is_late).select("request_id", "domain", "url", "ts", F.lit(False).alias("denied")))
+        order = Window.partitionBy("domain", "url").orderBy("ts", "request_id")  # what was kept comes first
+        rows = rows.withColumn("denied", F.col("denied") | F.coalesce(seconds(F.col("ts"), F.lag("ts").over(order)) > gap, F.lit(False)))
+        rows = written(rows.withColumn("denied", F.max("denied").over(order.rowsBetween(Window.unboundedPreceding, 0))), "rows")
+        written(rows.groupBy("domain", "url").agg(F.max("ts").alias("last_ts"), F.max("denied").alias("denied")), "chains")
+        columns = ["request_id", "domain", "url", "ts"]
+        late = rows.where("request_id is not null").select(*columns, (~F.col("denied")).alias("admitted"))
+        save(known.where(~is_late).select(*columns, opens.alias("admitted")).unionByName(late), k)
+        drop(spark, f"{root}/rows/{k}")
+        for name in ("firsts", "chains"):
+            drop(spark, f"{root}/{name}/{k - 2}")
+
+    return step
+
+
 def stream_admission(requests: DataFrame, gap: int = 2, mode: str = "reference") -> DataFrame:
     """Admission of a stream of requests(request_id, domain, url, ts), with state for each domain.
 
     ``mode="reference"`` follows the rule of the batch operator crawl_admission.
     ``mode="min_gap"`` admits a request if ``gap`` whole seconds or more have
     passed since the domain's last admission. Requests of a domain must arrive
-    in the order of their times, micro-batch by micro-batch.
+    in the order of their times, micro-batch by micro-batch. All requests of a
+    domain meet in one task, as the second mode needs; ``admit_batches`` has the
+    first mode without that.
     """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
