@@ -47,6 +47,16 @@ def test_shards_keep_the_law(spark):
     assert sharding.document_shards(empty(spark)).count() == 0
 
 
+def test_text_dimensions_share_long_prefixes(spark):
+    rows = [(k, None if k % 9 == 0 else f"https://source_{k % 80:03}", "old") for k in range(800)]
+    got = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, source string, shard string"), "doc_id", ["source"], 8).collect()
+    assert len({r.curve for r in got}) == 16 and {r.shard for r in got} == set(range(8))
+    in_order = [r.source or "" for r in sorted(got, key=lambda r: (r.curve, r.source or ""))]
+    assert in_order == sorted(in_order)
+    with pytest.raises(ValueError):
+        sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, source string, shard string"), "doc_id", ["shard"], 8)
+
+
 def test_written_shards(spark, tmp_path):
     out = sharding.document_shards(documents(spark), 4)
     sharding.write_shards(out, f"{tmp_path}/s")

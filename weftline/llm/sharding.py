@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import add
 
@@ -16,6 +17,8 @@ from weftline.llm.storage import Scratch, tasks
 
 #: monotonically_increasing_id keeps the row's place in its partition in the low bits.
 ROW_BITS = 33
+#: Columns that hilbert_shards adds, to its result or on the way.
+OWN_COLUMNS = {"curve", "shard", "slot", "_at", "_part", "_n", "_before", "_all", "_rank"}
 
 
 def curve_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -47,12 +50,22 @@ def curve_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """An order-keeping number for a column: strings by their first six bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _text_borders(df: DataFrame, name: str, steps: list[float], scratch: Scratch) -> list[str]:
+    """Quantiles of a string column, exactly, in the order of its UTF-8 bytes.
+
+    Rows are counted by value before anything is ordered; the values are
+    range-partitioned, and counts are cumulated inside partitions, on top of the
+    partitions' sums. Only the borders reach the driver.
+    """
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ranged = values.repartitionByRange(tasks(df.sparkSession), "value").withColumn("part", F.spark_partition_id())
+    ranged = scratch.write(ranged, f"values_{uuid.uuid4().hex[:8]}")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("m"))  # a row for each partition
+    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    upto = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("value", ((F.col("before") + F.col("inside")) / F.col("all")).alias("share"))
+    found = upto.agg(*(F.min(F.when(F.col("share") >= s, F.col("value"))).alias(f"q{i}") for i, s in enumerate(steps))).first()
+    return [b for b in found if b is not None]
 
 
 def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits: int = 4) -> DataFrame:
@@ -67,18 +80,28 @@ def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits:
     The sort is one range exchange, with the key as a tie-breaker so that one
     crowded cell spreads over many tasks; only row counts a partition and
     (2**bits - 1) bin borders a dimension reach the driver. Nulls sort first;
-    equal rows are interchangeable; an empty table gives no rows.
+    equal rows are interchangeable; an empty table gives no rows. Columns of
+    df that are named like one of OWN_COLUMNS are left out; the key and the
+    dimensions may not be.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "shards")
+    if taken := OWN_COLUMNS & {key, *dims}:
+        raise ValueError(f"a key or dimension may not be named {sorted(taken)}")
+    df = df.drop(*OWN_COLUMNS)
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    borders = df.agg(*(F.percentile_approx(_number(df, c), steps, 10_000).alias(f"q{i}") for i, c in enumerate(dims))).first()
+    texts = {c for c in dims if isinstance(df.schema[c].dataType, T.StringType)}
+    cuts = {c: _text_borders(df, c, steps, scratch) for c in texts}
+    if numbers := [c for c in dict.fromkeys(dims) if c not in texts]:
+        found = df.agg(*(F.percentile_approx(F.col(c).cast("double"), steps, 10_000).alias(f"q{i}") for i, c in enumerate(numbers))).first()
+        cuts |= {c: found[i] or [] for i, c in enumerate(numbers)}
+    number = lambda c: F.col(c) if c in texts else F.col(c).cast("double")
 
     def place(*bins: pd.Series) -> pd.Series:
         return pd.Series(curve_index([b.to_numpy() for b in bins], bits))
 
     place = F.pandas_udf(place, "long")
-    bins = [reduce(add, ((F.coalesce(_number(df, c), F.lit(float("-inf"))) > F.lit(b)).cast("long") for b in borders[i] or ()), F.lit(0).cast("long")) for i, c in enumerate(dims)]
+    bins = [reduce(add, (F.coalesce(number(c) > F.lit(b), F.lit(False)).cast("long") for b in cuts[c]), F.lit(0).cast("long")) for c in dims]
     at = df.select("*", place(*bins).alias("curve"))
     order = list(dict.fromkeys(["curve", key, *dims]))
     ranged = at.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
