@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import broadcast_up_to
+from weftline.llm.storage import Scratch, broadcast_up_to
 
 #: Days in a bin of the as-of join.
 BIN_DAYS = 32
@@ -52,7 +52,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     or malformed url matches nothing, a null time too.
     """
     last = captures.agg(F.max(F.to_date("fetched_at"))).first()[0]
-    spans = validity(entries)
+    spans = Scratch(captures.sparkSession, "lists").write(validity(entries), "spans")  # read three times
     depth = spans.agg(F.max(F.size(F.filter(F.split("pattern", "/"), lambda x: x != ""))) - 1).first()[0] or 0
     number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / BIN_DAYS)
     end = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last)), F.lit(last))
