@@ -2,13 +2,27 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_web import brute_links
 
 from weftline.llm import vector_graph
 
 
+def test_sql_form_on_linked_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in rng.normal(size=8)]) for k in range(30)]
+    rows += [(100 + k, [v + 0.05 * float(rng.normal()) for v in rows[k % 7][1]]) for k in range(40)]
+    rows += [(200, None), (201, [0.0] * 8), (202, [1.0, None] * 4), (203, rows[3][1]), (204, [float("nan")] * 8)]
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows]), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    got = vector_graph.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(con.sql(vector_graph.ORACLE).fetchall())
+    assert sum(r.n_links for r in got) > 100
+
+
 @pytest.mark.parametrize("block", [4000, 50])
 def test_two_dense_groups(spark, monkeypatch, block):
     monkeypatch.setattr(vector_graph, "BLOCK", block)

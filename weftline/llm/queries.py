@@ -57,4 +57,4 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op3_language_fusion, op4_winnow_decontamination, op5_url_lists_asof, op6_pruned_graph, op7_simhash_groups, op8_suffix_removal, op9_piece_lattice, op10_warc_store)}
-ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op5_url_lists_asof": url_lists.ORACLE, "op10_warc_store": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op5_url_lists_asof": url_lists.ORACLE, "op6_pruned_graph": vector_graph.ORACLE, "op10_warc_store": warc.ORACLE}
