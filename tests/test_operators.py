@@ -96,6 +96,15 @@ def test_upsert_is_idempotent(spark):
     assert sorted(tables.upsert_nodes(once, new).collect()) == sorted(once.collect())
 
 
+def test_writing_a_project_keeps_the_others(spark, tmp_path):
+    nodes = spark.createDataFrame([("one", 1), ("two", 2)], "project_id string, node_id long")
+    edges = spark.createDataFrame([("one", 1, 1), ("two", 2, 2)], "project_id string, src long, dst long")
+    for name in ("one", "two", "one"):
+        tables.write_graph(nodes.where(F.col("project_id") == name), edges.where(F.col("project_id") == name), f"{tmp_path}/g")
+    n, e = tables.read_graph(spark, f"{tmp_path}/g")
+    assert sorted(r.node_id for r in n.collect()) == sorted(r.src for r in e.collect()) == [1, 2]
+
+
 def test_explore_takes_the_first_way(spark):
     nodes = spark.createDataFrame([(1, ["Objective"]), (2, ["Link"]), (3, ["Link"]), (4, ["DomainName"]), (5, ["Title"]), (6, ["Link"])], "node_id long, labels array<string>")
     edges = spark.createDataFrame([(1, 1, 3), (1, 2, 2), (1, 3, 5), (3, 1, 4), (2, 1, 4), (4, 1, 1), (5, 1, 6)], "src long, pos int, dst long")

@@ -318,7 +318,9 @@ def robots_filter(spark, d):
     return crawl.robots_filter(links, crawl.robots_rules(inputs.robots(spark, links))).select("page_id")
 
 
-FRONTIER_SQL = f"""WITH {NODES_SQL}, o AS (SELECT *, flags & 8 > 0 AND written_at < TIMESTAMP '1995-01-01' - INTERVAL 60 SECOND AS old FROM nodes WHERE flags & 7 = 0),
+#: The moments at which work lists and retries are taken, in Spark and in SQL alike.
+FRONTIER_NOW, RETRY_NOW = "1995-01-01", "2024-06-01"
+FRONTIER_SQL = f"""WITH {NODES_SQL}, o AS (SELECT *, flags & 8 > 0 AND written_at < TIMESTAMP '{FRONTIER_NOW}' - INTERVAL 60 SECOND AS old FROM nodes WHERE flags & 7 = 0),
 f AS (SELECT *, old OR list_has_any(labels, ['DomainName', 'Objective', 'WebPage', 'WebSearch']) AS first FROM o WHERE flags & 8 = 0 OR old),
 n AS (SELECT least(count(*), 100) AS n FROM f WHERE first)
 SELECT node_id FROM f WHERE first UNION ALL SELECT node_id FROM (SELECT node_id, row_number() OVER (ORDER BY node_id) AS k FROM f WHERE NOT first AND list_contains(labels, 'Link')), n WHERE k <= 100 - n"""
@@ -326,7 +328,7 @@ SELECT node_id FROM f WHERE first UNION ALL SELECT node_id FROM (SELECT node_id,
 
 @query(FRONTIER_SQL)
 def select_frontier(spark, d):
-    return crawl.select_frontier(testgraph.nodes(spark, d), F.lit("2024-06-01").cast("timestamp")).select("node_id")
+    return crawl.select_frontier(testgraph.nodes(spark, d), F.lit(FRONTIER_NOW).cast("timestamp")).select("node_id")
 
 
 @query(f"WITH {URL_SQL} SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 16 | 1 WHEN 1 THEN page_id % 16 | 8 ELSE page_id % 16 END AS flags FROM u")
@@ -725,9 +727,9 @@ def stream_admission(spark, d):
     return _run(start, jobs.ADMISSION, spark).select("request_id", "domain", "url", "admitted")
 
 
-@query(f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE flags & 8 > 0 AND written_at < TIMESTAMP '2024-06-01' - INTERVAL 60 SECOND")
+@query(f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE flags & 8 > 0 AND written_at < TIMESTAMP '{RETRY_NOW}' - INTERVAL 60 SECOND")
 def retry_errors(spark, d):
-    return crawl.retry_errors(testgraph.nodes(spark, d), F.lit("2024-06-01").cast("timestamp")).select("node_id")
+    return crawl.retry_errors(testgraph.nodes(spark, d), F.lit(RETRY_NOW).cast("timestamp")).select("node_id")
 
 
 # --- limits and sets ---------------------------------------------------------------------------

@@ -46,9 +46,9 @@ def add_connections(pairs: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Both tables as Parquet, a folder a project."""
-    nodes.write.mode("overwrite").partitionBy("project_id").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("project_id").parquet(f"{path}/edges")
+    """Both tables as Parquet, a folder a project; projects that are not written stay as they are."""
+    for df, name in ((nodes, "nodes"), (edges, "edges")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
