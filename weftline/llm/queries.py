@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import dac, decontaminate, language, pieces, sharding, simhash, suffixes, url_lists, vector_graph, warc
+from weftline.llm import dac, decontaminate, language, pieces, sharding, simhash, spelling, suffixes, url_lists, vector_graph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,9 @@ def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op3_language_fusion, op4_winnow_decontamination, op5_url_lists_asof, op6_pruned_graph, op7_simhash_groups, op8_suffix_removal, op9_piece_lattice, op10_warc_store)}
-ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op5_url_lists_asof": url_lists.ORACLE, "op6_pruned_graph": vector_graph.ORACLE, "op10_warc_store": warc.ORACLE}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op3_language_fusion, op4_winnow_decontamination, op5_url_lists_asof, op6_pruned_graph, op7_simhash_groups, op8_suffix_removal, op9_piece_lattice, op10_warc_store, op11_spelling_variants)}
+ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op5_url_lists_asof": url_lists.ORACLE, "op6_pruned_graph": vector_graph.ORACLE, "op10_warc_store": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE}
