@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.crc import CRC_TABLE, crc32_sql
 from weftline.llm.storage import Scratch, broadcast_up_to
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -238,11 +239,10 @@ def spelling_groups(docs: DataFrame, letters: int = 6, least: int = 5, factor: i
 
 #: The same rows in DuckDB: CRC-32 from its table, near words by what is left when a letter is taken out.
 ORACLE = f"""
-WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+WITH RECURSIVE {CRC_TABLE},
 runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{6,}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
 d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS k FROM runs GROUP BY ALL),
-b AS (SELECT run, k, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END)) AS bytes FROM d),
-h AS (SELECT run, k, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, tab),
+h AS (SELECT run, k, {crc32_sql("s")} AS h FROM d, tab),
 w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
 v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 6 AND n >= 5),
 o AS MATERIALIZED (SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1))::INT AS p)),
