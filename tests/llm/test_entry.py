@@ -21,7 +21,7 @@ print(len(e.queries()), len(e.oracle_sql()), sorted(n for n in e.queries() if n.
 """
 
 
-@pytest.mark.parametrize(("names", "want"), [(("public_tokenizers",), "85 85 []"), (("corpus_pipeline",), "95 89 ['op1_hilbert_shards']"), ((), "96 89 ['op1_hilbert_shards', 'pipeline']")])
+@pytest.mark.parametrize(("names", "want"), [(("public_tokenizers",), "85 85 []"), (("corpus_pipeline",), "98 91 ['op1_hilbert_shards']"), ((), "99 91 ['op1_hilbert_shards', 'pipeline']")])
 def test_entry_without_libraries(names, want):
     said = subprocess.run([sys.executable, "-c", BLOCK.format(names=list(names))], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert said.stdout.strip() == want, said.stderr

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import conversations, dac, decontaminate, language, pieces, sharding, simhash, spelling, suffixes, url_lists, vector_graph, warc
+from weftline.llm import conversations, dac, decontaminate, language, pieces, quality, sharding, simhash, spelling, suffixes, url_lists, vector_graph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_conversations(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op3_language_fusion, op4_winnow_decontamination, op5_url_lists_asof, op6_pruned_graph, op7_simhash_groups, op8_suffix_removal, op9_piece_lattice, op10_warc_store, op11_spelling_variants, op12_conversation_repair)}
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_dac_tokens, op3_language_fusion, op4_winnow_decontamination, op5_url_lists_asof, op6_pruned_graph, op7_simhash_groups, op8_suffix_removal, op9_piece_lattice, op10_warc_store, op11_spelling_variants, op12_conversation_repair, op13_quality_trees)}
 ORACLE_SQL: dict[str, str] = {"op4_winnow_decontamination": decontaminate.ORACLE, "op5_url_lists_asof": url_lists.ORACLE, "op6_pruned_graph": vector_graph.ORACLE, "op10_warc_store": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_conversation_repair": conversations.ORACLE}
