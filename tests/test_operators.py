@@ -1,11 +1,13 @@
 """Rules and quirks that the shared tables do not show."""
 
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import crawl, graph, search
+from weftline.operators import admission, crawl, graph, search
 from weftline.sources import tables
 from weftline.streaming import jobs
 
@@ -22,6 +24,36 @@ def test_robots_standard(spark):
     assert everything - got("none") == {("a", p) for p in ("/x", "/x/y", "/x/yy", "/q", "/lost")} | {("b", "/q")}
 
 
+def matches(pattern, target):
+    end = pattern.endswith("$")
+    return re.match(".*".join(map(re.escape, (pattern[:-1] if end else pattern).split("*"))) + ("$" if end else ""), target, re.S) is not None
+
+
+def test_robots_by_prefix(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("ab/*$?."[: rng.choice((3, 7))]) for _ in range(n))
+    rules = [(d, "*", rng.random() < 0.5, "/" * (rng.random() < 0.8) + letters(rng.randint(1, 6)), k) for k, d in enumerate("abc" * 30)]
+    links = [(d, "/" + letters(rng.randint(0, 7)).replace("?", "").replace("*", "a"), rng.choice([None, "a", "b/a"])) for d in "abcd" * 40]
+    want = set()
+    for d, path, query in links:
+        target = path + ("" if query is None else "?" + query)
+        hits = [(len(p), allow) for e, _, allow, p, _ in rules if e == d and matches(p, target)]
+        if not hits or max(hits)[1]:
+            want.add((d, path, query))
+    df, used = spark.createDataFrame(links, "domain string, path string, query string"), spark.createDataFrame(rules, "domain string, agent string, allow boolean, pattern string, line int")
+    assert {tuple(r) for r in crawl.robots_filter(df, used).collect()} == want and len(want) < len(set(links))
+
+
+def test_robots_of_a_large_domain(spark):
+    """10^5 links and 10^3 rules of one domain: pairs with equal heads alone are formed."""
+    big = F.format_string("big%d", F.col("id") * 0).alias("domain")
+    links = spark.range(100_000).select(big, F.format_string("/s%03d/page/%d", F.col("id") % 2000, F.col("id")).alias("path"), F.lit(None).cast("string").alias("query"))
+    rules = spark.range(1000).select(big, F.lit("*").alias("agent"), F.lit(False).alias("allow"), F.concat(F.format_string("/s%03d/", F.col("id")), F.when(F.col("id") % 2 == 0, "*/1").otherwise("")).alias("pattern"))
+    hits = crawl._pattern_hits(links, rules.select("domain", "allow", "pattern"))
+    assert hits.count() == 50 * 500 + sum(str(k).startswith("1") for k in range(100_000) if k % 2000 < 1000 and k % 2 == 0)
+    assert "CartesianProduct" not in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
 def requests(spark, rows):
     return spark.createDataFrame([(k, d, u, T0 + timedelta(seconds=s)) for k, (d, u, s) in enumerate(rows)], "request_id long, domain string, url string, ts timestamp")
 
@@ -35,15 +67,65 @@ def test_admission(spark):
     assert [got[k] for k in range(len(ROWS))] == WANT
 
 
-def test_stream_admission_over_batches(spark, tmp_path):
-    df = requests(spark, ROWS)
-    for k, part in enumerate((df.where("request_id < 3"), df.where("request_id between 3 and 5"), df.where("request_id > 5"))):
-        part.coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+def in_files(spark, df, at, *parts):
+    """A stream whose micro-batches are the given parts of df."""
+    for k, part in enumerate(parts):
+        df.where(part).coalesce(1).write.parquet(f"{at}/in/p={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+
+
+def greedy(rows, gap):
+    """(request_id: admitted) by the rule itself."""
+    last, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.request_id)):
+        out[r.request_id] = r.domain is not None and (r.domain not in last or r.ts - last[r.domain] >= timedelta(seconds=gap))
+        if out[r.request_id]:
+            last[r.domain] = r.ts
+    return out
+
+
+@pytest.mark.parametrize(("gap", "bin_seconds"), [(2, 3), (40, 7)])
+def test_min_gap(spark, gap, bin_seconds):
+    rng = random.Random(gap)
+    rows = [(k, rng.choice(["a", "a", "a", "b", "c", None]), "u", T0 + timedelta(milliseconds=rng.choice((250, 1000)) * rng.randrange(600))) for k in range(400)]
+    df = spark.createDataFrame(rows, "request_id long, domain string, url string, ts timestamp")
+    got = {r.request_id: r.admitted for r in admission.min_gap_admission(df, gap, bin_seconds).collect()}
+    assert got == greedy(df.collect(), gap) and sum(got.values()) > 3
+
+
+def test_min_gap_stream_keeps_little(spark, tmp_path):
+    rng = random.Random(7)
+    rows = sorted((T0 + timedelta(milliseconds=500 * rng.randrange(2000)), k) for k in range(600))
+    df = spark.createDataFrame([(k, f"d{k % 90}" if ts < T0 + timedelta(seconds=300) else "z", "u", ts) for ts, k in rows], "request_id long, domain string, url string, ts timestamp")
+    cut = [f"ts >= timestamp'{T0 + timedelta(seconds=100 * k)}' and ts < timestamp'{T0 + timedelta(seconds=100 * k + 100)}'" for k in range(10)]
     save = lambda b, k: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")
-    jobs.stream_admission(stream).writeStream.foreachBatch(save).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    run = jobs.min_gap_stream(in_files(spark, df, tmp_path, *cut), 3).writeStream.foreachBatch(save).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
     got = {r.request_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert [got[k] for k in range(len(ROWS))] == WANT
+    assert got == greedy(df.collect(), 3) == {r.request_id: r.admitted for r in admission.min_gap_admission(df, 3).collect()}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert max(held) > 20 and held[-1] <= 1  # 90 domains came, the last hold one
+
+
+def test_admission_forgets(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, f"d{k // 150}", f"u{rng.randrange(40)}", T0 + timedelta(seconds=(k // 150) * 4000 + rng.randrange(900) * 3)) for k in range(900)]
+    df = spark.createDataFrame(rows, "request_id long, domain string, url string, ts timestamp")
+    want = {r.request_id: r.admitted for r in crawl.crawl_admission(df, 30, 100).collect()}
+    assert want != {r.request_id: r.admitted for r in crawl.crawl_admission(df, 30).collect()}
+    cut = [f"ts >= timestamp'{T0 + timedelta(seconds=3000 * k)}' and ts < timestamp'{T0 + timedelta(seconds=3000 * k + 3000)}'" for k in range(8)]
+    sizes = []
+
+    def save(b, k):
+        b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}")
+
+    def step(b, k):
+        jobs.admit_batches(f"{tmp_path}/state", save, 30, 100)(b, k)
+        sizes.append((spark.read.parquet(f"{tmp_path}/state/spells/{k}").count(), spark.read.parquet(f"{tmp_path}/state/chains/{k}").count()))
+
+    in_files(spark, df, tmp_path, *cut).writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.request_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    assert max(s for s, _ in sizes) <= 2 and max(c for _, c in sizes) <= 40  # of 6 domains with up to 40 URLs each
 
 
 def test_batches_admitted_by_url(spark, tmp_path):
@@ -112,13 +194,17 @@ def test_explore_takes_the_first_way(spark):
     assert got == {1: (0, None), 3: (1, 1), 2: (1, 1), 4: (2, 3)}
 
 
-def test_many_terms_use_grams(spark, monkeypatch):
-    parts = spark.createDataFrame([(1, "The Nile and Oslo"), (2, "x"), (3, None), (4, "oslo")], "node_id long, text string")
-    terms = spark.createDataFrame([("oslo",), ("NILE",), ("x",), ("zzz",), ("",), ("Ni",)], "term string")
-    want = {("oslo", 1), ("oslo", 4), ("NILE", 1), ("x", 2), ("", 1), ("", 2), ("", 4), ("Ni", 1)}
-    assert {tuple(r) for r in search.saved_search_all(parts, terms).collect()} == want
-    monkeypatch.setattr(search, "FEW_TERMS", 1)
-    assert {tuple(r) for r in search.saved_search_all(parts, terms).collect()} == want
+def test_many_terms_use_an_automaton(spark, monkeypatch):
+    parts = spark.createDataFrame([(1, "The Nile and Oslo"), (2, "x"), (3, None), (4, "oslo"), (5, "İzmir ÉCLAIR")], "node_id long, text string").withColumn("term", F.lit("clash"))
+    terms = spark.createDataFrame([("oslo",), ("OSLO",), ("NILE",), ("x",), ("zzz",), ("",), ("Ni",), (None,), ("oslo",), ("éclair",), ("izmir",)], "term string")
+    want = {("oslo", 1), ("oslo", 4), ("OSLO", 1), ("OSLO", 4), ("NILE", 1), ("x", 2), ("", 1), ("", 2), ("", 4), ("", 5), ("Ni", 1), ("éclair", 5)}
+    for few, many in ((32, 50_000), (1, 50_000), (1, 3)):
+        monkeypatch.setattr(search, "FEW_TERMS", few)
+        monkeypatch.setattr(search, "AUTOMATON_TERMS", many)
+        got = [tuple(r) for r in search.saved_search_all(parts, terms).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = search.saved_search_all(parts, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_context_stays_on_the_page(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import extract_urls, full_link, parse_link, resolve_href
+from weftline.operators.admission import first_of_spell
 from weftline.schemas import BLOCKED, HAD_ERROR, PROCESSED, REQUESTING
 
 LINK_KEY = ["domain", "path", "query"]
@@ -97,6 +98,23 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(ended, "$").otherwise(""))
 
 
+def _pattern_hits(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """(domain, path, query, allow, pattern) for each link and each of ``rules(domain, allow, pattern)`` that matches it.
+
+    A pattern begins with a literal head, up to its first ``*`` or final ``$``. A
+    link is cut to the lengths that heads of its domain have, and joined by
+    equality of domain and head, so a rule meets only links that begin like it;
+    a regular expression then tests the patterns that are more than a head.
+    """
+    rules = rules.withColumn("head", F.regexp_extract("pattern", r"^([^*]*?)(?:\*|\$$|$)", 1)).withColumn("regex", F.when(F.col("head") != F.col("pattern"), pattern_regex(F.col("pattern"))))
+    # As many lengths as the domain's longest pattern has letters, at most.
+    lengths = rules.groupBy("domain").agg(F.collect_set(F.length("head")).alias("lengths"))
+    keys = links.select(*LINK_KEY).distinct().withColumn("target", full_link(F.col("path"), F.col("query")))
+    fit = F.filter("lengths", lambda n: n <= F.length("target"))
+    heads = keys.join(lengths, "domain").select(*LINK_KEY, "target", F.explode(fit).alias("n")).withColumn("head", F.substring("target", F.lit(1), F.col("n")))
+    return heads.join(rules, ["domain", "head"]).where(F.col("regex").isNull() | F.regexp_like("target", F.col("regex"))).select(*LINK_KEY, "allow", "pattern")
+
+
 def robots_filter(links: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """links(domain, path, query, …) that robots rules allow.
 
@@ -106,11 +124,8 @@ def robots_filter(links: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
     """
     own = rules.where(F.col("agent") == agent.lower())
     rest = rules.where("agent = '*'").join(own.select("domain").distinct(), "domain", "left_anti")
-    used = own.select("domain", "allow", "pattern").unionByName(rest.select("domain", "allow", "pattern")).distinct().withColumn("regex", pattern_regex(F.col("pattern")))
-    target = full_link(F.col("path"), F.col("query"))
-    keys = links.select(*LINK_KEY).distinct()
-    # An equi-join on the domain, with the pattern as a further condition.
-    hits = keys.withColumn("target", target).join(used, "domain").where(F.regexp_like("target", F.col("regex")))
+    used = own.select("domain", "allow", "pattern").unionByName(rest.select("domain", "allow", "pattern")).distinct()
+    hits = _pattern_hits(links, used)
     best = hits.groupBy(*LINK_KEY).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("allow"))
     denied = best.where("not allow").select(*(F.col(c).alias(f"_{c}") for c in LINK_KEY))
     on = (F.col("domain") == F.col("_domain")) & (F.col("path") == F.col("_path")) & F.col("query").eqNullSafe(F.col("_query"))
@@ -175,28 +190,47 @@ def retry_errors(nodes: DataFrame, now: Column, retry_after: int = 60) -> DataFr
     return nodes.where(has_flag(F.col("flags"), HAD_ERROR) & (F.unix_micros(now) - F.unix_micros("written_at") > retry_after * 1_000_000))
 
 
-def crawl_admission(requests: DataFrame, gap: int = 2) -> DataFrame:
+def whole_seconds(later: Column, earlier: Column) -> Column:
+    return F.floor((later - earlier) / 1_000_000)
+
+
+def crawl_admission(requests: DataFrame, gap: int = 2, forget: int | None = None) -> DataFrame:
     """Adds ``admitted`` to requests(request_id, domain, url, ts), in the order of ts and request_id.
 
     A domain's first request is admitted (and not logged for its URL). Later
     ones are denied while the whole seconds since the first are ``gap`` or
     fewer; from then on a URL is admitted the first time, and again as long as
     each next request follows within ``gap`` whole seconds of its last admission.
+    With ``forget``, a domain or URL without a request for more than so many
+    seconds is new again. Requests without a domain are not admitted.
 
     Windows over (domain, url) do all the work, so a hot domain is spread over
-    its URLs; a domain's first request comes from an aggregate.
+    its URLs; a domain's first request comes from an aggregate, or with
+    ``forget`` from bins of its time.
     """
-    first = requests.groupBy("domain").agg(F.min(F.struct("ts", "request_id")).alias("_first"))
-    seconds = lambda later, earlier: F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000)
-    known = requests.join(first, "domain")
-    opens = (F.col("ts") == F.col("_first.ts")) & (F.col("request_id") == F.col("_first.request_id"))
-    late = known.where(~opens & (seconds(F.col("ts"), F.col("_first.ts")) > gap))
-    order = Window.partitionBy("domain", "url").orderBy("ts", "request_id")
-    # A chain goes on while each step is short; after the first long step the URL stays denied.
-    late = late.withColumn("_long", F.coalesce(seconds(F.col("ts"), F.lag("ts").over(order)) > gap, F.lit(False)))
-    late = late.withColumn("admitted", ~F.max("_long").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    early = known.where(opens | (seconds(F.col("ts"), F.col("_first.ts")) <= gap)).withColumn("admitted", opens)
-    return early.unionByName(late.drop("_long")).select(*requests.columns, "admitted")
+    plain = requests.where("domain is not null").withColumn("micros", F.unix_micros("ts"))
+    if forget is None:
+        known = plain.join(plain.groupBy("domain").agg(F.min(F.struct("micros", "request_id")).alias("first")), "domain")
+    else:
+        known = first_of_spell(plain, forget)
+    opens = (F.col("micros") == F.col("first.micros")) & (F.col("request_id") == F.col("first.request_id"))
+    is_late = ~opens & (whole_seconds(F.col("micros"), F.col("first.micros")) > gap)
+    late = url_chains(known.where(is_late).withColumn("denied", F.lit(False)), gap, forget).withColumn("admitted", ~F.col("denied"))
+    early = known.where(~is_late).withColumn("admitted", opens)
+    columns = [*requests.columns, "admitted"]
+    return early.select(*columns).unionByName(late.select(*columns)).unionByName(requests.where("domain is null").withColumn("admitted", F.lit(False)).select(*columns))
+
+
+def url_chains(rows: DataFrame, gap: int, forget: int | None) -> DataFrame:
+    """``rows(domain, url, micros, request_id, denied)`` with ``denied`` carried on: a chain goes on while each step is short; after the first long step the URL stays denied, until it is forgotten."""
+    order = Window.partitionBy("domain", "url").orderBy("micros", "request_id")
+    step = F.col("micros") - F.lag("micros").over(order)
+    again = F.lit(False) if forget is None else F.coalesce(step > forget * 1_000_000, F.lit(False))
+    rows = rows.withColumns({"_again": again, "_long": F.coalesce(F.floor(step / 1_000_000) > gap, F.lit(False))})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_chain", F.sum(F.col("_again").cast("long")).over(so_far))
+    within = Window.partitionBy("domain", "url", "_chain").orderBy("micros", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("denied", F.max(F.col("denied") | (F.col("_long") & ~F.col("_again"))).over(within)).drop("_again", "_long", "_chain")
 
 
 def dedup_links(urls: DataFrame, known: DataFrame | None = None) -> DataFrame:

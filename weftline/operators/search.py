@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import contains_any
+from weftline.shared import Steps
 
-#: Terms up to which a table of terms is sent to all tasks, after a count; beyond, parts are cut to words.
-FEW_TERMS = 1000
+#: Terms up to which Spark tests each text for each term; more go through an automaton.
+FEW_TERMS = 32
+#: Terms of one automaton; more terms take several passes over the texts.
+AUTOMATON_TERMS = 50_000
 
 
 def saved_search(nodes: DataFrame, term: str) -> DataFrame:
@@ -26,31 +34,47 @@ def saved_term(nodes: DataFrame, node_id: int) -> str:
 
 
 def saved_search_all(parts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, node_id) for each of ``terms(term)`` and each of ``parts(node_id, text)`` that contains it.
+    """(term, node_id) for each of the distinct ``terms(term)`` and each of ``parts(node_id, text)`` that contains it, without regard to case.
 
-    Up to FEW_TERMS terms (counted first) go to every task. More are joined on
-    grams of three letters: a term's rarest gram must be in a text, and the pair is
-    then tested in full. A shorter term, even an empty one, is a gram itself. Only
-    ids and grams are joined; texts are fetched for the pairs that are left.
+    Neither texts nor pieces of them are shuffled: terms go to all tasks, a few
+    (counted first) as a broadcast table, more as Aho-Corasick automata that
+    read a batch of texts once for all of their terms. An automaton has a
+    bounded number of terms, so terms without end take passes, not memory. An
+    empty term is in every text, a null one and a null text in none.
     """
-    few = terms.select("term").distinct()
-    if few.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        return parts.join(F.broadcast(few), F.lower("text").contains(F.lower("term"))).select("term", "node_id")
-    low = few.withColumn("low", F.lower("term"))
-    n = F.length("low")
-    of_terms = low.select("term", F.explode(F.when(n < 3, F.array("low")).otherwise(_grams(F.col("low"), 3))).alias("gram"))
-    counts = of_terms.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = of_terms.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    texts = parts.select("node_id", F.lower("text").alias("low"))
-    of_texts = texts.select("node_id", F.explode(F.flatten(F.array(F.array(F.lit("")), *(_grams(F.col("low"), k) for k in (1, 2, 3))))).alias("gram"))
-    pairs = of_texts.join(rarest, "gram").select("term", "node_id").distinct()
-    return pairs.join(texts, "node_id").where(F.col("low").contains(F.lower("term"))).select("term", "node_id")
-
-
-def _grams(text: Column, letters: int) -> Column:
-    """Distinct grams of a text of so many letters (a shorter text has none)."""
-    places = F.sequence(F.lit(1), F.length(text) - letters + 1)
-    return F.when(F.length(text) >= letters, F.array_distinct(F.transform(places, lambda i: text.substr(i, F.lit(letters))))).otherwise(F.array().cast("array<string>"))
+    spark = parts.sparkSession
+    distinct = terms.where("term is not null").select("term", F.lower("term").alias("low")).distinct()
+    few = distinct.limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        return parts.select("node_id", "text").join(F.broadcast(distinct), F.lower("text").contains(F.col("low"))).select("term", "node_id")
+    table = Steps(spark, "terms").write(distinct, "terms")
+    passes = -(-table.count() // AUTOMATON_TERMS)
+    found = [_found(parts, [tuple(r) for r in table.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect()]) for k in range(passes)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _found(parts: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+    """(term, node_id) of the texts that hold a term, by one automaton over the terms' lower-case forms."""
+    by_low: dict[str, list[str]] = {}
+    for term, low in terms:
+        by_low.setdefault(low, []).append(term)
+    key = parts.schema["node_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for low, own in by_low.items():
+            if low:
+                automaton.add_word(low, own)
+        automaton.make_automaton()
+        always = by_low.get("", [])
+        for frame in frames:
+            hits = []
+            for node_id, low in zip(frame["node_id"], frame["low"], strict=True):
+                lists = {id(own): own for _, own in automaton.iter(low)} if len(automaton) else {}
+                hits += [(term, node_id) for own in (always, *lists.values()) for term in own]
+            yield pd.DataFrame(hits, columns=["term", "node_id"])
+
+    return parts.where("text is not null").select("node_id", F.lower("text").alias("low")).mapInPandas(run, f"term string, node_id {key}")
 
 
 def search_with_context(parts: DataFrame, terms: list[str]) -> DataFrame:

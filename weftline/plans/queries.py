@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions import answers, text, urls
-from weftline.operators import crawl, enrich, graph, html, search
+from weftline.operators import admission, crawl, enrich, graph, html, search
 from weftline.plans import inputs, testgraph
 from weftline.plans.shared import shared_dir
 from weftline.plans.testgraph import EDGES_SQL, NODES_SQL
@@ -599,6 +599,20 @@ def crawl_admission(spark, d):
     return crawl.crawl_admission(inputs.requests(spark, d)).drop("ts")
 
 
+#: Seconds between admissions in the registered queries: about twice the mean distance of a domain's requests in the table, so that the rule bites.
+WIDE_GAP = 300
+MIN_GAP_SQL = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT event_id AS request_id, event_type AS domain, user_id::VARCHAR AS url, epoch_us(ts) AS t FROM events),
+n AS MATERIALIZED (SELECT a.request_id, a.domain, a.t, (SELECT min({{'t': b.t, 'i': b.request_id}}) FROM q b WHERE b.domain = a.domain AND b.t >= a.t + {WIDE_GAP}000000) AS next FROM q a),
+a AS (SELECT domain, min({{'t': t, 'i': request_id}}) AS r FROM q GROUP BY domain UNION ALL SELECT n.domain, n.next FROM a JOIN n ON n.request_id = a.r.i WHERE n.next IS NOT NULL)
+SELECT request_id, domain, url, request_id IN (SELECT r.i FROM a) AS admitted FROM q"""
+
+
+@query(MIN_GAP_SQL)
+def crawl_min_gap(spark, d):
+    """The default politeness rule as a batch job."""
+    return admission.min_gap_admission(inputs.requests(spark, d), WIDE_GAP).drop("ts")
+
+
 # --- search ------------------------------------------------------------------------------------
 
 
@@ -614,6 +628,13 @@ def saved_search_all(spark, d):
     return search.saved_search_all(inputs.document_nodes(spark, d).select("node_id", "text"), terms)
 
 
+@query("SELECT term, doc_id AS node_id FROM documents JOIN (SELECT DISTINCT lower(substr(text, 1, 7)) AS term FROM documents) ON contains(lower(text), term)")
+def saved_search_many(spark, d):
+    """How each document begins is a term: far more of them than can be tested one by one."""
+    nodes = inputs.document_nodes(spark, d).select("node_id", "text")
+    return search.saved_search_all(nodes, nodes.select(F.lower(F.substring("text", 1, 7)).alias("term")))
+
+
 @query(r"""WITH s AS (SELECT doc_id, text, regexp_extract(text, '(?is)^(.*?)(thou an|onthe)', 1) AS pre, regexp_matches(text, '(?i)thou an|onthe') AS hit, regexp_split_to_array(text, '[\s\x{0B}]+') AS w FROM documents),
 b AS (SELECT *, CASE WHEN hit THEN len(regexp_split_to_array(pre, '[\s\x{0B}]+')) ELSE 0 END AS before FROM s),
 a AS (SELECT *, CASE WHEN before > 50 THEN floor(before * 0.3 + 0.5)::INT ELSE 0 END AS start FROM b)
@@ -727,6 +748,39 @@ def stream_admission(spark, d):
     return _run(start, jobs.ADMISSION, spark).select("request_id", "domain", "url", "admitted")
 
 
+@query(MIN_GAP_SQL)
+def stream_min_gap(spark, d):
+    """The same rule on a stream, with expiring state."""
+    rows = _stream(spark, d, "events").select(C("event_id").alias("request_id"), C("event_type").alias("domain"), C("user_id").cast("string").alias("url"), C("ts").cast("timestamp").alias("ts"))
+    start = lambda save, at: jobs.min_gap_stream(rows, WIDE_GAP).writeStream.foreachBatch(save).option("checkpointLocation", at).trigger(availableNow=True).start()
+    return _run(start, jobs.ADMISSION, spark).select("request_id", "domain", "url", "admitted")
+
+
+FORGET = 3600
+FORGET_SQL = f"""WITH q AS (SELECT event_id AS request_id, event_type AS domain, user_id::VARCHAR AS url, epoch_us(ts) AS t FROM events),
+d AS (SELECT *, coalesce(t - lag(t) OVER w > {FORGET}000000, true) AS new FROM q WINDOW w AS (PARTITION BY domain ORDER BY t, request_id)),
+s AS (SELECT *, max(CASE WHEN new THEN {{'t': t, 'i': request_id}} END) OVER (PARTITION BY domain ORDER BY t, request_id) AS f FROM d),
+o AS (SELECT *, request_id = f.i AS opens, floor((t - f.t) / 1000000) AS since FROM s),
+l AS (SELECT *, coalesce(t - lag(t) OVER w > {FORGET}000000, false) AS again, coalesce(floor((t - lag(t) OVER w) / 1000000) > {WIDE_GAP}, false) AS long FROM o WHERE NOT opens AND since > {WIDE_GAP} WINDOW w AS (PARTITION BY domain, url ORDER BY t, request_id)),
+c AS (SELECT *, sum(again::INT) OVER (PARTITION BY domain, url ORDER BY t, request_id) AS chain FROM l),
+x AS (SELECT request_id, NOT bool_or(long AND NOT again) OVER (PARTITION BY domain, url, chain ORDER BY t, request_id) AS admitted FROM c)
+SELECT o.request_id, o.domain, o.url, CASE WHEN opens THEN true WHEN since <= {WIDE_GAP} THEN false ELSE x.admitted END AS admitted FROM o LEFT JOIN x USING (request_id)"""
+
+
+@query(FORGET_SQL)
+def crawl_admission_forget(spark, d):
+    """Admission where domains and URLs that rest for an hour are new again."""
+    return crawl.crawl_admission(inputs.requests(spark, d), WIDE_GAP, FORGET).drop("ts")
+
+
+@query(FORGET_SQL)
+def stream_admission_forget(spark, d):
+    rows = _stream(spark, d, "events").select(C("event_id").alias("request_id"), C("event_type").alias("domain"), C("user_id").cast("string").alias("url"), C("ts").cast("timestamp").alias("ts"))
+    state = f"{shared_dir(spark)}/weftline-admission-{uuid.uuid4().hex[:12]}"
+    start = lambda save, at: rows.writeStream.foreachBatch(jobs.admit_batches(state, save, WIDE_GAP, FORGET)).option("checkpointLocation", at).trigger(availableNow=True).start()
+    return _run(start, jobs.ADMISSION, spark).select("request_id", "domain", "url", "admitted")
+
+
 @query(f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE flags & 8 > 0 AND written_at < TIMESTAMP '{RETRY_NOW}' - INTERVAL 60 SECOND")
 def retry_errors(spark, d):
     return crawl.retry_errors(testgraph.nodes(spark, d), F.lit(RETRY_NOW).cast("timestamp")).select("node_id")

@@ -1,25 +1,5 @@
-"""The folder that all executors share."""
+"""The shared folder, under its older name."""
 
-from __future__ import annotations
+from weftline.shared import drop, shared_dir
 
-import tempfile
-
-from pyspark.sql import SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder, if it is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["drop", "shared_dir"]

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.functions.urls import parse_link
+from weftline.operators.admission import first_of_spell
+from weftline.operators.crawl import url_chains, whole_seconds
 from weftline.operators.html import page_parts
-from weftline.plans.shared import drop
+from weftline.shared import drop
 
 
 def incremental_sync(rows: DataFrame, mark_ms: int | None = None) -> tuple[DataFrame, int | None]:
@@ -45,26 +47,27 @@ def stream_parts(pages: DataFrame, save: Callable[[DataFrame, int], None], check
 
 
 ADMISSION = "request_id long, domain string, url string, ts timestamp, admitted boolean"
-#: First request of the domain in microseconds, and for each URL its last admission (-1: denied for good).
-STATE = "first long, urls map<string, long>"
+#: What is kept between micro-batches: each domain's spell, and each late URL's last request and whether it is denied.
+SPELLS = "domain string, first struct<micros: long, request_id: long>, last long"
+CHAINS = "domain string, url string, micros long, request_id long, denied boolean"
 
 
-#: What is kept between micro-batches: each domain's first request, and each late URL's last request and whether it is denied for good.
-FIRSTS, CHAINS = "domain string, first_ts timestamp, first_id long", "domain string, url string, last_ts timestamp, denied boolean"
-
-
-def admit_batches(root: str, save: Callable[[DataFrame, int], None], gap: int = 2) -> Callable[[DataFrame, int], None]:
+def admit_batches(root: str, save: Callable[[DataFrame, int], None], gap: int = 2, forget: int | None = None) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that hands ``save`` each micro-batch of requests(request_id, domain, url, ts) with ``admitted``.
 
     The rule is that of crawl_admission. Work is dealt by (domain, url), so a hot
-    domain is spread over its URLs; of a domain only its first request is
-    kept. State tables of each batch are written under the shared folder ``root``,
-    so a batch that is run again starts from the one before it. Requests must
-    arrive in the order of their times, micro-batch by micro-batch.
+    domain is spread over its URLs; of a domain only its spell is kept. State
+    tables of each batch are written under the shared folder ``root``, so a
+    batch that is run again starts from the one before it. With ``forget``,
+    domains and URLs without a request for more than so many seconds before
+    the latest one leave the state, which then grows with what is active and
+    not with what was ever seen. Requests must arrive in the order of their
+    times, micro-batch by micro-batch.
     """
 
     def step(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
+        columns = ["request_id", "domain", "url", "ts"]
 
         def before(name: str, schema: str) -> DataFrame:
             return spark.read.schema(schema).parquet(f"{root}/{name}/{k - 1}") if k else spark.createDataFrame([], schema)
@@ -73,59 +76,62 @@ def admit_batches(root: str, save: Callable[[DataFrame, int], None], gap: int =
             df.write.mode("overwrite").parquet(f"{root}/{name}/{k}")
             return spark.read.schema(df.schema).parquet(f"{root}/{name}/{k}")
 
-        seen = before("firsts", FIRSTS)
-        new = batch.groupBy("domain").agg(F.min(F.struct("ts", "request_id")).alias("f")).select("domain", F.col("f.ts").alias("first_ts"), F.col("f.request_id").alias("first_id"))
-        firsts = written(seen.unionByName(new.join(seen, "domain", "left_anti")), "firsts")
-        seconds = lambda later, earlier: F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000)
-        known = batch.join(firsts, "domain")
-        opens = F.col("request_id") == F.col("first_id")
-        is_late = ~opens & (seconds(F.col("ts"), F.col("first_ts")) > gap)
-        chains = before("chains", CHAINS)
-        kept = chains.select(F.lit(None).cast("long").alias("request_id"), "domain", "url", F.col("last_ts").alias("ts"), "denied")
-        rows = kept.unionByName(known.where(is_late).select("request_id", "domain", "url", "ts", F.lit(False).alias("denied")))
-        order = Window.partitionBy("domain", "url").orderBy("ts", "request_id")  # what was kept comes first
-        rows = rows.withColumn("denied", F.col("denied") | F.coalesce(seconds(F.col("ts"), F.lag("ts").over(order)) > gap, F.lit(False)))
-        rows = written(rows.withColumn("denied", F.max("denied").over(order.rowsBetween(Window.unboundedPreceding, 0))), "rows")
-        written(rows.groupBy("domain", "url").agg(F.max("ts").alias("last_ts"), F.max("denied").alias("denied")), "chains")
-        columns = ["request_id", "domain", "url", "ts"]
-        late = rows.where("request_id is not null").select(*columns, (~F.col("denied")).alias("admitted"))
-        save(known.where(~is_late).select(*columns, opens.alias("admitted")).unionByName(late), k)
-        drop(spark, f"{root}/rows/{k}")
-        for name in ("firsts", "chains"):
+        batch = written(batch.select(*columns).withColumn("micros", F.unix_micros("ts")), "batch")
+        plain, spells, chains = batch.where("domain is not null"), before("spells", SPELLS), before("chains", CHAINS)
+        if forget is None:
+            new = plain.groupBy("domain").agg(F.min(F.struct("micros", "request_id")).alias("own"), F.max("micros").alias("own_last")).join(spells, "domain", "full")
+            spells = written(new.select("domain", F.coalesce("first", "own").alias("first"), F.greatest("last", "own_last").alias("last")), "spells")
+            known = plain.join(spells.select("domain", "first"), "domain")
+        else:
+            known = written(first_of_spell(plain, forget, seen=spells), "known")
+            new = known.groupBy("domain").agg(F.max("first").alias("first"), F.max("micros").alias("last"))
+            latest = new.agg(F.max("last")).first()[0]
+            kept = spells.join(new, "domain", "left_anti")
+            spells = written(new.unionByName(kept if latest is None else kept.where(F.col("last") >= latest - forget * 1_000_000)), "spells")
+        opens = (F.col("micros") == F.col("first.micros")) & (F.col("request_id") == F.col("first.request_id"))
+        is_late = ~opens & (whole_seconds(F.col("micros"), F.col("first.micros")) > gap)
+        rows = chains.withColumn("ts", F.lit(None).cast("timestamp")).unionByName(known.where(is_late).select(*columns, "micros", F.lit(False).alias("denied")))
+        rows = written(url_chains(rows, gap, forget), "rows")
+        last = rows.groupBy("domain", "url").agg(F.max(F.struct("micros", "request_id", "denied")).alias("l")).select("domain", "url", "l.*")
+        if forget is not None and latest is not None:
+            last = last.where(F.col("micros") >= latest - forget * 1_000_000)
+        written(last, "chains")
+        late = rows.where("ts is not null").select(*columns, (~F.col("denied")).alias("admitted"))
+        unknown = batch.where("domain is null").select(*columns, F.lit(False).alias("admitted"))
+        save(known.where(~is_late).select(*columns, opens.alias("admitted")).unionByName(late).unionByName(unknown), k)
+        for name in ("batch", "known", "rows"):
+            drop(spark, f"{root}/{name}/{k}")
+        for name in ("spells", "chains"):
             drop(spark, f"{root}/{name}/{k - 2}")
 
     return step
 
 
-def stream_admission(requests: DataFrame, gap: int = 2, mode: str = "reference") -> DataFrame:
-    """Admission of a stream of requests(request_id, domain, url, ts), with state for each domain.
+def min_gap_stream(requests: DataFrame, gap: int = 2, delay: str = "0 seconds") -> DataFrame:
+    """min_gap_admission of a stream of requests(request_id, domain, url, ts), in the state store.
 
-    ``mode="reference"`` follows the rule of the batch operator crawl_admission.
-    ``mode="min_gap"`` admits a request if ``gap`` whole seconds or more have
-    passed since the domain's last admission. Requests of a domain must arrive
-    in the order of their times, micro-batch by micro-batch. All requests of a
-    domain meet in one task, as the second mode needs; ``admit_batches`` has the
-    first mode without that.
+    A domain's state is the time of its last admission. It has a time limit: once
+    the watermark (``delay`` behind the latest request) is ``gap`` seconds past
+    it, the next request is admitted anyway, and the state goes. So the store
+    holds the domains of the last seconds only. All requests of a domain in a
+    micro-batch meet in one task, one after the other; requests of a domain
+    must arrive in the order of their times, micro-batch by micro-batch.
     """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, urls = (None, {}) if not state.exists else (state.get[0], dict(state.get[1] or {}))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        # The frames of a key are not in order: numbers are sorted, rows are not gathered in Python objects.
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        out = []
-        for url, micros in zip(rows["url"], (t.value // 1000 for t in rows["ts"]), strict=True):
-            if first is None:
-                first, ok = micros, True
-            elif mode == "min_gap":
-                ok = (micros - first) // 1_000_000 >= gap
-                first = micros if ok else first
-            elif (micros - first) // 1_000_000 <= gap:
-                ok = False
-            else:
-                last = urls.get(url)
-                ok = last is None or last >= 0 and (micros - last) // 1_000_000 <= gap
-                urls[url] = micros if ok else -1
-            out.append(ok)
-        state.update((first, urls))
+        micros, out = rows["ts"].astype("int64").to_numpy() // (1 if rows["ts"].dtype.name.endswith("us]") else 1000), []
+        for t in micros.tolist():
+            out.append(last is None or t - last >= gap * 1_000_000)
+            last = t if out[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(admitted=out)[["request_id", "domain", "url", "ts", "admitted"]]
 
-    return requests.groupBy("domain").applyInPandasWithState(admit, ADMISSION, STATE, "append", GroupStateTimeout.NoTimeout)
+    own = requests.where("domain is not null").withWatermark("ts", delay)
+    return own.groupBy("domain").applyInPandasWithState(admit, ADMISSION, "last long", "append", GroupStateTimeout.EventTimeTimeout)
