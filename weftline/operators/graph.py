@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import full_url
-from weftline.plans.shared import drop, shared_dir
 from weftline.schemas import EXPLORED_LABELS, NODE_LABELS, WORKFLOW_LABELS
+from weftline.shared import Steps
 
 
 def _any_label(labels: tuple[str, ...]) -> Column:
@@ -34,9 +32,13 @@ def nodes_since(nodes: DataFrame, ms: int = 0) -> DataFrame:
 
 
 def edges_since(edges: DataFrame, ms: int = 0) -> DataFrame:
-    """(src, written_at, edges): the whole ordered list of every source that changed after ms."""
-    lists = edges.groupBy("src").agg(F.max(F.unix_millis("written_at")).alias("written_at"), F.array_sort(F.collect_list(F.struct("pos", "dst", "label"))).alias("e"))
-    return lists.where(F.col("written_at") > ms).select("src", "written_at", F.transform("e", lambda x: F.struct(x["dst"].alias("dst"), x["label"].alias("label"))).alias("edges"))
+    """(src, pos, dst, label, written_at): all edges of every source that changed after ms, with the source's last change in milliseconds.
+
+    A row an edge, so a hub's edges are never in one row. A stored graph answers
+    the same from its change log, without a shuffle (``tables.edges_changed_since``).
+    """
+    last = edges.groupBy("src").agg(F.max(F.unix_millis("written_at")).alias("changed")).where(F.col("changed") > ms)
+    return edges.join(last, "src").select("src", "pos", "dst", "label", F.col("changed").alias("written_at"))
 
 
 def distinct_labels(nodes: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def robots_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return domains.join(first, "src", "left").select(F.col("src").alias("domain_id"), status.alias("status"))
 
 
-def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_depth: int = 6) -> DataFrame:
+def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_depth: int = 6, bottom_up: float = 0.5) -> DataFrame:
     """(node_id, depth, parent, rank): breadth-first search from a node (by default the objective with the least id).
 
     Edges are followed in order, each node is reached once, by the first
@@ -102,24 +104,33 @@ def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_de
     sort like the search meets them and no level is ever numbered in one task.
     Each round joins the frontier with the edges and takes off what is visited;
     rounds are written out, so plans stay short.
+
+    Once the frontier's edges are more than ``bottom_up`` of those that lead to
+    nodes not yet visited, the round goes the other way: visited ends are taken
+    off the edges first, for good, and the frontier is looked up among what is left.
     """
     spark = nodes.sparkSession
     if start is None:
         start = nodes.where(F.array_contains("labels", "Objective")).agg(F.min("node_id")).first()[0]
     wanted = nodes.where(_any_label(EXPLORED_LABELS)).select(F.col("node_id").alias("dst"))
-    steps = edges.select("src", "pos", "dst").join(wanted, "dst", "left_semi")
+    tables = Steps(spark, "explore")
+    steps = tables.write(edges.select("src", "pos", "dst").join(wanted, "dst", "left_semi"), "steps")  # each round joins them
     visited = frontier = spark.createDataFrame([(start, 0, None, [])], "node_id long, depth int, parent long, rank array<int>")
-    root = f"{shared_dir(spark)}/weftline-explore-{uuid.uuid4().hex[:12]}"
-    steps.write.parquet(f"{root}/steps")  # each round joins them
-    steps = spark.read.schema(steps.schema).parquet(f"{root}/steps")
+    left, name = steps.count(), "steps"
     for depth in range(1, max_depth + 1):
-        found = frontier.select(F.col("node_id").alias("src"), "rank").join(steps, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m"))
-        fresh = found.join(visited.select(F.col("node_id").alias("dst")), "dst", "left_anti")
+        ahead = frontier.select(F.col("node_id").alias("src"), "rank")
+        seen = visited.select(F.col("node_id").alias("dst"))
+        if depth > 1 and steps.join(ahead.select("src"), "src", "left_semi").count() > bottom_up * left:
+            steps = tables.write(steps.join(seen, "dst", "left_anti"), f"left{depth}")
+            tables.drop(name)
+            left, name = steps.count(), f"left{depth}"
+            fresh = steps.join(ahead, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m"))
+        else:
+            fresh = ahead.join(steps, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m")).join(seen, "dst", "left_anti")
         level = fresh.select(F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), F.concat("m.rank", F.array("m.pos")).alias("rank"))
-        level.write.parquet(f"{root}/{depth}")
-        frontier = spark.read.schema(level.schema).parquet(f"{root}/{depth}")
+        frontier = tables.write(level, str(depth))
         visited = visited.unionByName(frontier)
-    drop(spark, f"{root}/steps")
+    tables.drop(name)
     return visited
 
 
@@ -129,10 +140,14 @@ def explored_edges(explored: DataFrame, edges: DataFrame, max_depth: int = 6) ->
 
 
 def sibling_groups(explored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(parent, labels, siblings): children found under one parent with equal label sets, two or more."""
+    """(parent, labels, element, members, node_id): children found under one parent with equal label sets, two or more; a row a child.
+
+    A group is named by its least child, ``element``. Groups are counted with
+    partial results and joined back, so no group is ever one row.
+    """
     named = explored.where("parent is not null").join(nodes.select("node_id", F.array_join(F.array_sort("labels"), ",").alias("labels")), "node_id")
-    groups = named.groupBy("parent", "labels").agg(F.array_sort(F.collect_list("node_id")).alias("siblings"))
-    return groups.where(F.size("siblings") > 1)
+    groups = named.groupBy("parent", "labels").agg(F.min("node_id").alias("element"), F.count("*").alias("members")).where("members > 1")
+    return named.join(groups, ["parent", "labels"]).select("parent", "labels", "element", "members", "node_id")
 
 
 def undirected_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,7 +169,7 @@ def collapse_siblings(nodes: DataFrame, edges: DataFrame, groups: DataFrame) ->
     Elements carry the union of their labels; ``Suggests`` edges run between elements, once each.
     """
     wanted = nodes.where(_any_label(WORKFLOW_LABELS)).select("node_id", "labels")
-    members = groups.select(F.array_min("siblings").alias("element"), F.explode("siblings").alias("node_id")).groupBy("node_id").agg(F.min("element").alias("element"))
+    members = groups.groupBy("node_id").agg(F.min("element").alias("element"))
     placed = wanted.join(members, "node_id", "left").withColumn("element", F.coalesce("element", "node_id"))
     labels = placed.select("element", F.explode("labels").alias("label")).groupBy("element").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     sizes = placed.groupBy("element").agg(F.count("*").alias("nodes"))

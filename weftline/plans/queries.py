@@ -12,8 +12,8 @@ from weftline import schemas
 from weftline.functions import answers, text, urls
 from weftline.operators import admission, crawl, enrich, graph, html, search
 from weftline.plans import inputs, testgraph
-from weftline.plans.shared import shared_dir
 from weftline.plans.testgraph import EDGES_SQL, NODES_SQL
+from weftline.shared import shared_dir
 from weftline.sources import tables
 from weftline.streaming import jobs
 
@@ -451,10 +451,31 @@ def nodes_since(spark, d):
     return graph.nodes_since(testgraph.nodes(spark, d), 850000000000).select("node_id", "flags")
 
 
+#: Milliseconds after which changes are asked for.
+SINCE = 1720000000000
+
+
 @query(f"WITH {EDGES_SQL} SELECT src, max(epoch_ms(written_at)) AS written_at, md5(string_agg(dst || label, ',' ORDER BY pos)) AS edges FROM edges GROUP BY src HAVING max(epoch_ms(written_at)) > 1720000000000")
 def edges_since(spark, d):
-    out = graph.edges_since(testgraph.edges(spark, d), 1720000000000)
-    return out.select("src", "written_at", F.md5(joined(F.transform("edges", lambda e: F.concat(e["dst"].cast("string"), e["label"])), ",")).alias("edges"))
+    # The operator's rows are edges; a digest of a source's list is what the query shows.
+    rows = graph.edges_since(testgraph.edges(spark, d), SINCE)
+    of = F.array_sort(F.collect_list(F.struct("pos", F.concat(C("dst").cast("string"), "label").alias("edge"))))
+    return rows.groupBy("src", "written_at").agg(F.md5(joined(F.transform(of, lambda e: e["edge"]), ",")).alias("edges"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT src, pos, dst, label, changed AS written_at FROM (SELECT *, max(epoch_ms(written_at)) OVER (PARTITION BY src) AS changed FROM edges) WHERE changed > {SINCE}")
+def edge_changes(spark, d):
+    """The same in long form, from a change log."""
+    path = f"{shared_dir(spark)}/weftline-changes-{uuid.uuid4().hex[:12]}"
+    tables.write_edge_changes(testgraph.edges(spark, d), path)
+    return tables.edges_changed_since(spark, path, SINCE)
+
+
+@query(f"WITH {NODES_SQL} SELECT node_id, flags FROM nodes WHERE epoch_ms(written_at) > 850000000000")
+def node_changes(spark, d):
+    path = f"{shared_dir(spark)}/weftline-changes-{uuid.uuid4().hex[:12]}"
+    tables.write_node_changes(testgraph.nodes(spark, d), path)
+    return tables.nodes_changed_since(spark, path, 850000000000).select("node_id", "flags")
 
 
 @query(f"WITH {NODES_SQL} SELECT DISTINCT unnest(labels) AS label FROM nodes")
@@ -481,8 +502,24 @@ def explore(spark, d):
 @query(f"{_explore_sql()} SELECT parent, array_to_string(list_sort(labels), ',') AS labels, count(*) AS n, md5(string_agg(x.node_id::VARCHAR, ',' ORDER BY x.node_id)) AS siblings FROM x JOIN nodes USING (node_id) WHERE parent IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def sibling_groups(spark, d):
     nodes = testgraph.nodes(spark, d)
-    out = graph.sibling_groups(graph.explore(nodes, testgraph.edges(spark, d)), nodes)
-    return out.select("parent", "labels", F.size("siblings").cast("long").alias("n"), F.md5(joined(C("siblings").cast("array<string>"), ",")).alias("siblings"))
+    rows = graph.sibling_groups(graph.explore(nodes, testgraph.edges(spark, d)), nodes)
+    of = F.md5(joined(F.array_sort(F.collect_list("node_id")).cast("array<string>"), ","))  # a digest of the list is what the query shows
+    return rows.groupBy("parent", "labels").agg(F.count("*").alias("n"), of.alias("siblings"))
+
+
+@query(f"""{_explore_sql()}, m AS (SELECT parent, array_to_string(list_sort(labels), ',') AS labels, x.node_id FROM x JOIN nodes USING (node_id) WHERE parent IS NOT NULL)
+SELECT parent, labels, min(node_id) OVER w AS element, count(*) OVER w AS members, node_id FROM m WINDOW w AS (PARTITION BY parent, labels) QUALIFY count(*) OVER w > 1""")
+def sibling_members(spark, d):
+    """The same in long form, as the operator gives it."""
+    nodes = testgraph.nodes(spark, d)
+    return graph.sibling_groups(graph.explore(nodes, testgraph.edges(spark, d)), nodes)
+
+
+@query(f"{_explore_sql()} SELECT e.src, e.pos, e.dst, e.label FROM edges e JOIN x ON x.node_id = e.src WHERE depth < 6")
+def explored_edges(spark, d):
+    """The other half of an exploration: all edges of what was reached above the last level."""
+    edges = testgraph.edges(spark, d)
+    return graph.explored_edges(graph.explore(testgraph.nodes(spark, d), edges), edges).select("src", "pos", "dst", "label")
 
 
 @query(f"WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT node_id FROM nodes WHERE list_contains(labels, 'DomainName') OR (list_contains(labels, 'Link') AND path <> '/')) SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src IN (FROM s) AND dst IN (FROM s)")

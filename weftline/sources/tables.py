@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.schemas import FLAG_NAMES, INVERSE, SEARCH_RESPONSE
@@ -55,6 +55,42 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+#: Days that a folder of a change log covers.
+LOG_DAYS = 30
+
+
+def _folder(ms: Column | int) -> Column | int:
+    """The number of a time's folder since 1970, UTC."""
+    span = LOG_DAYS * 86_400_000
+    return ms // span if isinstance(ms, int) else F.floor(ms / span).cast("int")
+
+
+def _write_log(rows: DataFrame, folder: str, time: str, path: str) -> None:
+    """Files of one folder and near times each, of a size that Spark balances."""
+    rows.hint("rebalance", folder).sortWithinPartitions(folder, time).write.mode("overwrite").partitionBy(folder).parquet(path)
+
+
+def write_edge_changes(edges: DataFrame, path: str) -> None:
+    """A log of changes: each source's edges in the folder of its last change, so that readers of later changes skip whole folders."""
+    last = edges.groupBy("src").agg(F.max(F.unix_millis("written_at")).alias("changed"))
+    _write_log(edges.join(last, "src").withColumn("changed_in", _folder(F.col("changed"))), "changed_in", "changed", path)
+
+
+def edges_changed_since(spark: SparkSession, path: str, ms: int) -> DataFrame:
+    """(src, pos, dst, label, written_at): all edges of the sources that changed after ms, as edges_since gives them, by filters of the log's folders and rows alone."""
+    log = spark.read.parquet(path).where((F.col("changed_in") >= _folder(ms)) & (F.col("changed") > ms))
+    return log.select("src", "pos", "dst", "label", F.col("changed").alias("written_at"))
+
+
+def write_node_changes(nodes: DataFrame, path: str) -> None:
+    _write_log(nodes.withColumn("written_in", _folder(F.unix_millis("written_at"))), "written_in", "written_at", path)
+
+
+def nodes_changed_since(spark: SparkSession, path: str, ms: int) -> DataFrame:
+    log = spark.read.parquet(path)
+    return log.where((F.col("written_in") >= _folder(ms)) & (F.unix_millis("written_at") > ms)).drop("written_in")
+
+
 def api_nodes(nodes: DataFrame) -> DataFrame:
     """Output form: texts of pages and robots files blanked, flags by name, time in epoch milliseconds."""
     hidden = F.arrays_overlap("labels", F.array(F.lit("WebPage"), F.lit("RobotsTxt")))
