@@ -3,12 +3,14 @@
 import random
 import re
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions.urls import parse_link
 from weftline.operators import admission, crawl, graph, search
-from weftline.sources import tables
+from weftline.sources import store, tables
 from weftline.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -186,6 +188,64 @@ def test_writing_a_project_keeps_the_others(spark, tmp_path):
     assert sorted(r.node_id for r in n.collect()) == sorted(r.src for r in e.collect()) == [1, 2]
 
 
+def state(at):
+    """Names and times of all data files below a folder."""
+    return {str(f.relative_to(at)): f.stat().st_mtime_ns for f in Path(at).rglob("*.parquet")}
+
+
+def test_store_writes_what_it_touches(spark, tmp_path):
+    at = f"{tmp_path}/graph"
+    stored = store.GraphStore(spark, f"file://{at}", buckets=4)
+
+    def rows(project, ids, text, day=0):
+        n = spark.createDataFrame([(project, k, ["L"], text, 0, T0 + timedelta(day)) for k in ids], "project_id string, node_id long, labels array<string>, text string, flags int, written_at timestamp")
+        return n, n.select("project_id", F.col("node_id").alias("src"), F.lit(1).alias("pos"), (F.col("node_id") + 1).alias("dst"), F.lit("ParentOf").alias("label"), "written_at")
+
+    assert stored.upsert(*rows("one", range(40), "a")) and stored.upsert(*rows("two/2 x", range(10), "b"))
+    before = state(at)
+    assert stored.upsert(*rows("one", [3], "c", 1), batch=5)
+    new = {f for f in state(at) if f not in before}
+    assert len([f for f in new if "/nodes/" in f"/{f}"]) == len([f for f in new if "/edges/" in f"/{f}"]) == 1  # one part of each, and a ledger
+    assert all(state(at)[f] == t for f, t in before.items())
+    content = lambda s, *p: sorted((r.project_id, r.node_id, r.text) for r in s.read(*p)[0].collect())
+    once = content(stored)
+    assert ("one", 3, "c") in once and len(once) == 50 and stored.read()[1].count() == 50
+    files = state(at)
+    assert not stored.upsert(*rows("one", [3], "d", 2), batch=5) and not stored.upsert(*rows("one", [3], "d", 2), batch=1)
+    assert state(at) == files and content(stored) == once
+    assert content(stored, "two/2 x") == [("two/2 x", k, "b") for k in range(10)]
+    # A batch that died before its ledger leaves files that nobody sees, and is written anew.
+    stored.upsert(*rows("one", range(40), "lost", 9), batch=6)
+    for f in Path(f"{at}/ledger/{6:012d}").iterdir():
+        f.unlink()
+    assert content(stored) == once
+    assert stored.upsert(*rows("one", [4], "e", 3), batch=6) and ("one", 4, "e") in content(stored) and ("one", 3, "c") in content(stored)
+    now = content(stored)
+    assert stored.vacuum() > 0 and content(stored) == now and stored.committed() == [0, 1, 5, 6] and not stored.upsert(*rows("one", [9], "z"), batch=0)
+
+
+PAGE = '<html><head><title>T</title></head><body><h1>H</h1><p>one</p><ul><li>i</li></ul><a href="/x">in</a><a href="https://new.example/y?q">out</a></body></html>'
+
+
+def test_streamed_pages_are_those_of_the_batch(spark, tmp_path):
+    pages = spark.createDataFrame([("p", "https://a.example/", PAGE, T0), ("p", "https://b.example/z?k=1", PAGE.replace("one", "two"), T0), ("q", "https://a.example/", "plain", T0), ("p", "http://a.example/#top", PAGE, T0 + timedelta(minutes=1))], "project_id string, url string, html string, fetched_at timestamp")
+    for k in range(2):
+        pages.where(f"minute(fetched_at) = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    streamed, batch = store.GraphStore(spark, f"file://{tmp_path}/s", buckets=2), store.GraphStore(spark, f"file://{tmp_path}/b", buckets=2)
+    jobs.stream_graph(stream, streamed, f"{tmp_path}/c").awaitTermination()
+    files = state(f"{tmp_path}/s")
+    links = pages.where("minute(fetched_at) = 0").select("project_id", parse_link(F.col("url")).alias("l"), "html", "fetched_at").select("project_id", "l.*", "html", "fetched_at")
+    assert not jobs.save_pages(links, streamed, 0) and state(f"{tmp_path}/s") == files  # run again: nothing
+    assert jobs.save_pages(links, batch)
+    both = [[sorted(map(str, df.collect())) for df in s.read()] for s in (streamed, batch)]
+    assert both[0] == both[1]
+    nodes, edges = batch.read("p")
+    count = {tuple(r.labels): r["count"] for r in nodes.groupBy("labels").count().collect()}
+    assert count == {("DomainName",): 3, ("Link",): 5, ("Content", "WebPage"): 2, ("Content", "WebMetadata"): 2, ("Title", "Partial"): 2, ("Heading", "Partial"): 2, ("Paragraph", "Partial"): 2, ("UnorderedPoints", "Partial"): 2, ("ListItem", "Partial"): 2}
+    assert edges.where("label = 'ParentOf'").count() == 2 * (5 + 1 + 2) and edges.where("label = 'BelongsTo'").count() == 5
+
+
 def test_explore_takes_the_first_way(spark):
     nodes = spark.createDataFrame([(1, ["Objective"]), (2, ["Link"]), (3, ["Link"]), (4, ["DomainName"]), (5, ["Title"]), (6, ["Link"])], "node_id long, labels array<string>")
     edges = spark.createDataFrame([(1, 1, 3), (1, 2, 2), (1, 3, 5), (3, 1, 4), (2, 1, 4), (4, 1, 1), (5, 1, 6)], "src long, pos int, dst long")

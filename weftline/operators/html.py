@@ -8,7 +8,6 @@ lists directly inside a list.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,9 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_text
-from weftline.functions.urls import resolve_asset, resolve_href
+from weftline.functions.urls import parse_link, resolve_asset, resolve_href
 from weftline.schemas import PARTS
-from weftline.plans.shared import shared_dir
 
 # Fixed values of the HTML standard: elements without content, and start tags that end an open paragraph.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -182,30 +180,22 @@ def extract_anchors(found: DataFrame) -> DataFrame:
     return _kind(found, "Anchor").select("page_id", "pos", F.col("value").alias("href"), F.col("text").alias("anchor_text"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def extract_links(pages: DataFrame, anchors: DataFrame, known_domains: DataFrame | None = None) -> DataFrame:
     """Distinct (page_id, domain, path, query) that anchors lead to.
 
     An ``https://`` href may name a new domain; any other must hit a known one:
     those of the pages, of all ``https://`` anchors, and of ``known_domains(domain)``.
+    Links are made distinct first, with a flag for ``https://`` hrefs; that
+    shuffle is what Spark reuses, so pages are parsed once.
     """
     on = anchors.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
     links = on.select("page_id", F.col("href").startswith("https://").alias("absolute"), resolve_href(F.col("base"), F.col("href")).alias("l")).select("page_id", "absolute", "l.*").where("domain is not null")
-    from weftline.functions.urls import parse_link
-
-    links = _written(links, "links")  # used three times: pages are parsed once
+    links = links.groupBy("page_id", "domain", "path", "query").agg(F.bool_or("absolute").alias("absolute"))
     known = links.where("absolute").select("domain").union(pages.select(parse_link(F.col("url"))["domain"].alias("domain")))
     if known_domains is not None:
         known = known.union(known_domains.select("domain"))
-    allowed = links.where("not absolute").join(known.distinct(), "domain", "left_semi").select(*links.columns)
-    return links.where("absolute").unionByName(allowed).drop("absolute").distinct()
+    known = known.distinct().select("domain", F.lit(True).alias("known"))
+    return links.join(known, "domain", "left").where("absolute or known").select("page_id", "domain", "path", "query")
 
 
 #: Metadata fields by what an attribute's name contains (the first that matches), and which value counts.

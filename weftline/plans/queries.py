@@ -14,7 +14,7 @@ from weftline.operators import admission, crawl, enrich, graph, html, search
 from weftline.plans import inputs, testgraph
 from weftline.plans.testgraph import EDGES_SQL, NODES_SQL
 from weftline.shared import shared_dir
-from weftline.sources import tables
+from weftline.sources import store, tables
 from weftline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -777,6 +777,35 @@ def stream_parts(spark, d):
     return _nth(html.extract_anchors(parts)).select("page_id", "n", "href", "anchor_text")
 
 
+STORED_SQL = rf"""WITH {URL_SQL}, {PARAGRAPH_SQL},
+an AS (SELECT page_id, url, i AS n, {_plain("regexp_extract(m, '(?s)href=\"([^\"]*)\"', 1)")} AS href FROM (SELECT page_id, url, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(body, '(?s)<a href="[^"]*">.*?</a>') AS l FROM b))),
+found AS (SELECT DISTINCT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain, {PATH_SQL} AS path FROM an),
+links AS (SELECT page_id % 16 AS k, domain, path, query FROM u UNION SELECT page_id % 16, domain, path, NULL FROM found),
+li AS (SELECT page_id, {_space(_plain("unnest(regexp_extract_all(body, '(?s)<li>(.*?)</li>', 1))"))} AS text FROM b),
+parts AS (SELECT page_id, 'Title' AS kind, {_space(_plain("regexp_extract(body, '(?s)<title>(.*?)</title>', 1)"))} AS text FROM b
+  UNION ALL SELECT page_id, 'Heading', {_space(_plain("unnest(regexp_extract_all(body, '(?s)<h1>(.*?)</h1>', 1))"))} FROM b
+  UNION ALL SELECT page_id, 'Paragraph', text FROM p UNION ALL SELECT page_id, 'ListItem', text FROM li UNION ALL SELECT page_id, 'UnorderedPoints', NULL FROM pages WHERE contains(html, '<ul><li')),
+r AS (SELECT 'DomainName' AS kind, domain AS name FROM (SELECT DISTINCT k, domain FROM links) UNION ALL SELECT 'Link', path || coalesce('?' || query, '') FROM links
+  UNION ALL SELECT 'WebPage', md5(html) FROM pages UNION ALL SELECT 'WebMetadata', {FULL_SQL} FROM u UNION ALL SELECT kind, coalesce(md5(text), '') FROM parts
+  UNION ALL SELECT unnest(['edge OwnerOf', 'edge BelongsTo']), '' FROM links UNION ALL SELECT unnest(['edge PathOf', 'edge ContentOf']), '' FROM pages
+  UNION ALL SELECT unnest(['edge ParentOf', 'edge ChildOf']), '' FROM (SELECT page_id FROM parts UNION ALL SELECT page_id FROM pages UNION ALL SELECT page_id FROM found))
+SELECT kind, name, count(*) AS n FROM r GROUP BY kind, name"""
+
+
+@query(STORED_SQL)
+def stream_graph(spark, d):
+    """Pages of a stream, dealt over 16 projects, as stored nodes (by kind and name) and edges (by label). Of two pages with one link in a project only the first that comes is kept."""
+    pages = _stream(spark, d, "pages").select((C("page_id") % 16).cast("string").alias("project_id"), "url", "html", F.timestamp_seconds(F.lit(1704067200) + C("page_id") % 60).alias("fetched_at"))
+    root = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex[:12]}"
+    stored = store.GraphStore(spark, f"{root}/graph", buckets=1)
+    jobs.stream_graph(pages, stored, f"{root}/checkpoint").awaitTermination()
+    nodes, edges = stored.read()
+    kind = F.filter("labels", lambda x: ~x.isin("Content", "Partial"))[0]
+    name = F.when(kind == "DomainName", C("text")).when(kind == "Link", urls.full_link(C("link.path"), C("link.query"))).when(kind == "WebMetadata", C("web_metadata.url")).otherwise(F.coalesce(F.md5("text"), F.lit("")))
+    rows = nodes.select(kind.alias("kind"), name.alias("name")).unionByName(edges.select(F.concat(F.lit("edge "), "label").alias("kind"), F.lit("").alias("name")))
+    return rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
 @query(ADMISSION_SQL)
 def stream_admission(spark, d):
     rows = _stream(spark, d, "events").select(C("event_id").alias("request_id"), C("event_type").alias("domain"), C("user_id").cast("string").alias("url"), C("ts").cast("timestamp").alias("ts"))

@@ -13,7 +13,9 @@ from weftline.functions.urls import parse_link
 from weftline.operators.admission import first_of_spell
 from weftline.operators.crawl import url_chains, whole_seconds
 from weftline.operators.html import page_parts
-from weftline.shared import drop
+from weftline.operators.ingest import page_graph
+from weftline.shared import Steps, drop
+from weftline.sources.store import GraphStore
 
 
 def incremental_sync(rows: DataFrame, mark_ms: int | None = None) -> tuple[DataFrame, int | None]:
@@ -46,6 +48,24 @@ def stream_parts(pages: DataFrame, save: Callable[[DataFrame, int], None], check
     return found.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_graph(pages: DataFrame, store: GraphStore, checkpoint: str, delay: str = "1 hour"):
+    """Runs ``stream_links`` over what is there and merges each micro-batch's nodes and edges into the store: domains, links, pages, metadata, parts and the links found.
+
+    The store's ledger holds the numbers of micro-batches, so one that is run again changes nothing.
+    """
+    return stream_links(pages, delay).writeStream.foreachBatch(lambda batch, k: save_pages(batch, store, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def save_pages(batch: DataFrame, store: GraphStore, k: int | None = None) -> bool:
+    """Merges a batch of pages into the store; the batch is parsed only if it does not count yet."""
+    if k is not None and k in store.committed():
+        return False
+    steps = Steps(batch.sparkSession, "ingest")
+    done = store.upsert(*page_graph(batch, steps), k)
+    steps.drop("pages", "parts")
+    return done
+
+
 ADMISSION = "request_id long, domain string, url string, ts timestamp, admitted boolean"
 #: What is kept between micro-batches: each domain's spell, and each late URL's last request and whether it is denied.
 SPELLS = "domain string, first struct<micros: long, request_id: long>, last long"
