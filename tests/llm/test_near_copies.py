@@ -55,6 +55,26 @@ def test_copies_at_four_fifths(spark, monkeypatch, block):
     assert near_copies.copy_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_chain_of_weak_candidates(spark, monkeypatch):
+    """Neighbours in a long chain share much, but not enough, and a copy of every fourth is near enough: sets meet by band, not by component."""
+    monkeypatch.setattr(near_copies, "BLOCK", 20)
+    rng, rows = random.Random(11), []
+    words = sentence(rng, 6000).split()
+    for k in range(160):
+        own = words[k * 30 : k * 30 + 200]
+        rows.append((2 * k, " ".join(own), "en", "s0", 1))
+        if k % 4 == 0:
+            rows.append((2 * k + 1, " ".join([*own[:-3], "one", "two", "three"]), "en", "s0", 1))
+    sent = []
+    real = near_copies._links_within
+    most = lambda members: members.groupBy("node").count().agg({"count": "max"}).first()[0] or 0
+    monkeypatch.setattr(near_copies, "_links_within", lambda members, percent: sent.append(most(members)) or real(members, percent))
+    got = near_copies.copy_groups(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == brute_copies(rows)
+    assert len({c for _, c in brute_copies(rows)}) == 160
+    assert max(sent) <= near_copies.BANDS
+
+
 def test_stage_drops_near_copies(spark):
     import corpus_pipeline
 

@@ -38,8 +38,8 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, digest, fingerprint, bands) for each row of docs: digest names the set of shingle hashes."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("fingerprint", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(doc_id, text_hash, digest, size, fingerprint, bands) for each row of docs: digest names the set of shingle hashes, size is their number."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("size", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -48,8 +48,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 every = shingle_hashes(text, shingle)
                 hashes = np.unique(every)
                 bits = int.from_bytes(fingerprint_of(every).to_bytes(8, "little"), "little", signed=True)
-                rows.append((xxhash.xxh128_hexdigest(hashes.tobytes()), bits, bands(hashes)))
-            yield pd.concat([frame[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "fingerprint", "bands"])], axis=1)
+                rows.append((xxhash.xxh128_hexdigest(hashes.tobytes()), len(hashes), bits, bands(hashes)))
+            yield pd.concat([frame[["doc_id", "text_hash"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "size", "fingerprint", "bands"])], axis=1)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(batches, schema)
 
@@ -94,7 +94,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.
 
 
 def _block_links(percent: int):
-    """For rows (component, left, right, node, shingles) sorted by the first three: spanning links of each key's rows."""
+    """For rows (key, left, right, node, shingles) sorted by the first three: spanning links of each key's rows."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, nodes, sets, out = None, [], [], ([], [])
@@ -105,7 +105,7 @@ def _block_links(percent: int):
                     to.append(found)
 
         for frame in frames:
-            for *key, node, raw in frame[["component", "left", "right", "node", "shingles"]].itertuples(index=False, name=None):
+            for *key, node, raw in frame[["key", "left", "right", "node", "shingles"]].itertuples(index=False, name=None):
                 if key != now:
                     flush()
                     now, nodes, sets = key, [], []
@@ -121,6 +121,62 @@ def _block_links(percent: int):
     return batches
 
 
+def _links_within(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning links (a, b) of the sets of each key of ``members(key, node, size, shingles)``.
+
+    A key with more than a block of sets is cut into blocks, and each pair of blocks is a task of its own.
+    """
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("size")) / BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+    cut = members.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A block meets every other block of its key, and itself where it is the only one.
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: (other != F.col("block")) | (F.col("blocks") == 1))
+    pairs = cut.withColumn("_other", F.explode(others)).select("key", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"), "node", "shingles")
+    key = ["key", "left", "right"]
+    return pairs.repartition(tasks(members.sparkSession), *key).sortWithinPartitions(*key).mapInPandas(_block_links(percent), "a long, b long").distinct()
+
+
+def _star_links(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs ``stars(a, b)`` that are similar enough; b is a hub, and a large star is dealt over parts that each have the hub's set."""
+    parts = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sets = members.select("node", "shingles")
+    points = stars.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node")).withColumn("hub", F.lit(False))
+    centres = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("node")).withColumn("hub", F.lit(True))
+    rows = points.unionByName(centres).join(sets, "node")
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, values = None, np.empty(0, np.uint64)
+        for frame in frames:
+            found = []
+            for b, node, is_hub, raw in frame[["b", "node", "hub", "shingles"]].itertuples(index=False, name=None):
+                one = np.frombuffer(raw, np.uint64)
+                if is_hub:
+                    hub, values = b, one
+                elif b == hub:
+                    both = len(np.intersect1d(one, values, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(values) - both):
+                        found.append((node, b))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    key = ["b", "part"]
+    return rows.repartition(tasks(members.sparkSession), *key).sortWithinPartitions(*key, F.desc("hub")).mapInPandas(batches, "a long, b long")
+
+
+def _links_by_band(members: DataFrame, stars: DataFrame, keys: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links of sets in large components of candidates, whose sets go to the bands they share and not to their component.
+
+    First each set meets the hubs of its bands. Bands whose sets are in one
+    component by then are done; in the others all sets meet. So a set is sent
+    once for a hub or band of its own, however large the component that weak
+    candidates chain together.
+    """
+    first = scratch.write(_star_links(stars, members, percent), "stars")
+    group = connected_components(first)
+    placed = scratch.write(keys.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    left = placed.join(open_, "key").select("key", "node")
+    return first.unionByName(_links_within(left.join(members.select("node", "size", "shingles"), "node"), percent))
+
+
 def _simhash_links(own: DataFrame, classes: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
     """Links (a, b) between the classes' nodes over fingerprints within the distance; nodes of one fingerprint hang on its smallest."""
     points = own.select("node", "fingerprint").join(classes.select("node"), "node", "left_semi")
@@ -138,37 +194,39 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance:
     Equal sets are one class. Classes whose SimHash fingerprints differ in at most
     ``distance`` bits are candidates, and so are those that share a MinHash band: at a
     similarity of 0.8 two fingerprints differ in about ten bits, so SimHash alone
-    would miss most pairs there, and many more bits make its grids too fine. Each
-    candidate's set goes once to its component of candidates, where pairs are
-    compared exactly. Components above a block are cut into blocks, and each
-    pair of blocks is a task of its own that returns spanning links. Null and
-    wordless texts have the empty set. component_id is null where nobody in the
-    group has an id.
+    would miss most pairs there, and many more bits make its grids too fine.
+    Candidates are compared exactly: where a component of candidates fits a
+    block, its sets are sent to it; the sets of larger ones meet the hubs of
+    their bands, then those of the bands that are not settled by that. Tasks return
+    spanning links. Null and wordless texts have the empty set. component_id is
+    null where nobody in the group has an id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     own = scratch.write(signatures(docs, shingle).withColumn("node", F.monotonically_increasing_id()), "own")
-    classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash")).alias("c"), F.min("doc_id").alias("least")).select("digest", "c.*", "least"), "classes")
+    classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash", "size")).alias("c"), F.min("doc_id").alias("least")).select("digest", "c.*", "least"), "classes")
     keys = own.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     keys = scratch.write(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     banded = keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     near = scratch.write(banded.unionByName(_simhash_links(own, classes, scratch, distance)).distinct(), "near")
     candidates = scratch.write(connected_components(near).join(classes, "node"), "candidates")
+    large = candidates.groupBy("component").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes")).where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("component")
+    large = scratch.write(candidates.join(large, "component", "left_semi").select("node"), "large")
+    by_band = not large.isEmpty()
+    if by_band:
+        stars = scratch.write(near.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), "large_near")
+        shared = scratch.write(keys.join(hubs.select("key"), "key", "left_semi").join(large, "node", "left_semi"), "large_keys")
     for used in ("keys", "near", "points"):
         scratch.drop(used)
     # Sets are made anew for candidates alone: those of all documents would take more room than the texts.
     wanted = broadcast_up_to(candidates.select("text_hash").distinct(), 200_000)
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
-    members = scratch.write(shingle_sets(texts, shingle).dropDuplicates(["digest"]).join(candidates, "digest").select("node", "component", "shingles"), "members")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
-    sizes = broadcast_up_to(scratch.write(sizes, "sizes"), 100_000)
-    cut = members.join(sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A block meets every other block of its component, and itself where it is the only one.
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: (other != F.col("block")) | (F.col("blocks") == 1))
-    pairs = cut.withColumn("_other", F.explode(others)).select("component", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"), "node", "shingles")
-    key = ["component", "left", "right"]
-    links = scratch.write(pairs.repartition(tasks(spark), *key).sortWithinPartitions(*key).mapInPandas(_block_links(percent), "a long, b long").distinct(), "links")
+    members = scratch.write(shingle_sets(texts, shingle).dropDuplicates(["digest"]).join(candidates, "digest").select("node", "component", "size", "shingles"), "members")
+    links = _links_within((members.join(large, "node", "left_anti") if by_band else members).withColumnRenamed("component", "key"), percent)
+    if by_band:
+        links = links.unionByName(_links_by_band(members.join(large, "node", "left_semi"), stars, shared, scratch, percent))
+    links = scratch.write(links, "links")
     group = connected_components(links)
     # A group's name is found over its classes and sent to them in salted copies, so that a large group is many keys.
     linked = classes.join(group, "node").withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
