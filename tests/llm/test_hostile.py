@@ -76,3 +76,10 @@ def test_long_copies_of_items(spark):
     rows, items = [(1, item, "en", "s", 1), (2, f"{item} more", "en", "s", 1)], [(1, item), (2, "word"), (3, "nowhere at all")]
     got = decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_contamination(rows, items)
+
+
+def test_archive_leaves_no_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string")
+    before = len(spark.catalog.listTables())
+    first = sorted(map(str, warc.archived_pages(pages).collect()))
+    assert len(spark.catalog.listTables()) == before and sorted(map(str, warc.archived_pages(pages).collect())) == first

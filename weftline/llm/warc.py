@@ -133,11 +133,20 @@ def resolved(parsed: DataFrame) -> DataFrame:
     return both.select("page_id", F.col("of.payload_bytes").alias("payload_bytes"), F.col("of.payload_digest").alias("payload_digest"), "record_type", "refers_to", "uri")
 
 
+def forget_buckets(spark: SparkSession, path: str) -> None:
+    """Takes the archive's bucketed tables off the session's catalogue; their files stay."""
+    for name in ("headers", "payloads"):
+        spark.sql(f"DROP TABLE IF EXISTS {_name(f'{path}/{name}')}")
+
+
 def archived_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages to an archive in the shared folder, reads it back and reports each record."""
     scratch = Scratch(pages.sparkSession, "archive")
     write_archive(pages, scratch.root, least)
-    return resolved(scratch.write(parse_records(read_records(pages.sparkSession, scratch.root)), "parsed"))
+    parsed = scratch.write(parse_records(read_records(pages.sparkSession, scratch.root)), "parsed")
+    forget_buckets(pages.sparkSession, scratch.root)
+    return resolved(parsed)
+
 
 #: The same rows in DuckDB.
 ORACLE = f"""
