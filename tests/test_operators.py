@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.urls import parse_link
 from weftline.operators import admission, crawl, graph, search
-from weftline.sources import store, tables
+from weftline.sources import bucketed, store, tables
 from weftline.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -274,6 +274,23 @@ def test_changes_are_pruned_by_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(changed_in" in plan and "Exchange" not in plan
 
 
+def test_bucketed_tables_do_not_move(spark, tmp_path):
+    nodes = spark.range(400).select(F.col("id").alias("node_id"), F.when(F.col("id") < 4, F.array(F.lit("DomainName"))).when(F.col("id") < 40, F.array(F.lit("Link"))).otherwise(F.array(F.lit("WebPage"))).alias("labels"), F.format_string("d%d.example", "id").alias("text"), F.struct(F.format_string("/%d", "id").alias("path"), F.lit(None).cast("string").alias("query")).alias("link"))
+    edges = spark.range(4, 400).select(F.col("id").alias("src"), F.lit(1).alias("pos"), F.when(F.col("id") < 40, F.col("id") % 4).otherwise(4 + F.col("id") % 36).alias("dst"), F.when(F.col("id") < 40, "BelongsTo").otherwise("ContentOf").alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with bucketed.bucketed_graph(nodes, edges, f"file://{tmp_path}/g", 4) as (n, e):
+            first = n.where(F.array_contains("labels", "WebPage")).join(graph.first_neighbor(e, "ContentOf").withColumnRenamed("src", "node_id"), "node_id")
+            assert first.count() == 360 and "Exchange" not in first._jdf.queryExecution().executedPlan().toString()
+            found = {r.page_id: r.url for r in graph.page_urls(n, e).collect()}
+            plan = graph.page_urls(n, e)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 4 and "Exchange hashpartitioning(src" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {k: f"https://d{(4 + k % 36) % 4}.example/{4 + k % 36}" for k in range(40, 400)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weftline_")]
+
+
 def test_siblings_in_long_form(spark):
     """One parent of 200,000 children: a row a member, no list."""
     n = 200_000

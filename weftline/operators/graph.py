@@ -59,7 +59,9 @@ def page_urls(nodes: DataFrame, edges: DataFrame, url_rule: str = "own") -> Data
     """(page_id, url): page → its link → the link's domain.
 
     ``url_rule="first_outgoing"`` takes the first link that the page itself
-    leads to, whatever the edge, as the classification report does.
+    leads to, whatever the edge, as the classification report does. Pages meet
+    their edges by node, and so do links: with bucketed tables
+    (``sources.bucketed``) neither moves. What then moves is a pair of ids a page.
     """
     pages = nodes.where(F.array_contains("labels", "WebPage")).select(F.col("node_id").alias("page_id"))
     links = nodes.where(F.array_contains("labels", "Link")).select(F.col("node_id").alias("link_id"), "link.path", "link.query")
@@ -68,10 +70,11 @@ def page_urls(nodes: DataFrame, edges: DataFrame, url_rule: str = "own") -> Data
     else:
         outgoing = edges.where("label = 'ParentOf'").join(links.select(F.col("link_id").alias("dst")), "dst", "left_semi")
         first = outgoing.groupBy("src").agg(F.min(F.struct("pos", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst"))
-    own = pages.join(first.select(F.col("src").alias("page_id"), F.col("dst").alias("link_id")), "page_id").join(links, "link_id")
-    domains = nodes.where(F.array_contains("labels", "DomainName")).select(F.col("node_id").alias("domain_id"), F.col("text").alias("domain"))
+    own = pages.join(first.select(F.col("src").alias("page_id"), F.col("dst").alias("link_id")), "page_id")
     of = first_neighbor(edges, "BelongsTo").select(F.col("src").alias("link_id"), F.col("dst").alias("domain_id"))
-    return own.join(of, "link_id").join(domains, "domain_id").select("page_id", full_url(F.col("domain"), F.col("path"), F.col("query")).alias("url"))
+    domains = nodes.where(F.array_contains("labels", "DomainName")).select(F.col("node_id").alias("domain_id"), F.col("text").alias("domain"))
+    named = links.join(of, "link_id").join(domains, "domain_id").select("link_id", full_url(F.col("domain"), F.col("path"), F.col("query")).alias("url"))
+    return own.join(named, "link_id").select("page_id", "url")
 
 
 def link_titles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from weftline.functions import answers, text, urls
 from weftline.operators import admission, crawl, enrich, graph, html, search
 from weftline.plans import inputs, testgraph
 from weftline.plans.testgraph import EDGES_SQL, NODES_SQL
-from weftline.shared import shared_dir
-from weftline.sources import store, tables
+from weftline.shared import Steps, shared_dir
+from weftline.sources import bucketed, store, tables
 from weftline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +258,14 @@ def page_content(spark, d):
     return html.page_content(_parts(spark, d)).select("page_id", F.md5("content").alias("content"))
 
 
+@query(r"""WITH m AS (SELECT page_id, url, regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1) AS head FROM pages WHERE contains(lower(html), '<html'))
+SELECT page_id, url, nullif(regexp_extract(head, '(?is)<meta name="description" content="([^"]+)"', 1), '') AS description, nullif(regexp_extract(head, '(?is)<meta name="author" content="([^"]+)"', 1), '') AS author FROM m""")
+def web_metadata_of_pages(spark, d):
+    """Metadata of the pages as they are."""
+    pages = T(spark, d, "pages")
+    return html.web_metadata(pages, html.page_parts(pages)).select("page_id", "url", "description", "author")
+
+
 # --- crawl policy ------------------------------------------------------------------------------
 
 
@@ -374,6 +382,13 @@ def neighbors(spark, d):
     return graph.neighbors(edges, edges.where("src % 2 = 0"), "ParentOf")
 
 
+@query(f"WITH {EDGES_SQL} SELECT src, dst, min(pos) AS pos FROM edges WHERE label = 'ChildOf' GROUP BY src, dst")
+def neighbors_of_all(spark, d):
+    """Of every source, the parents."""
+    edges = testgraph.edges(spark, d)
+    return graph.neighbors(edges, edges, "ChildOf")
+
+
 PAGE_URLS_SQL = f"""WITH {NODES_SQL}, {EDGES_SQL}, first AS (SELECT src, label, arg_min(dst, pos) AS dst FROM edges GROUP BY src, label),
 urls AS (SELECT p.node_id AS page_id, 'https://' || dn.text || l.path AS url FROM nodes p JOIN first f ON f.src = p.node_id AND f.label = 'ContentOf' JOIN nodes l ON l.node_id = f.dst
  JOIN first g ON g.src = l.node_id AND g.label = 'BelongsTo' JOIN nodes dn ON dn.node_id = g.dst WHERE list_contains(p.labels, 'WebPage'))"""
@@ -384,6 +399,15 @@ def page_urls(spark, d):
     return graph.page_urls(testgraph.nodes(spark, d), testgraph.edges(spark, d))
 
 
+@query(f"{PAGE_URLS_SQL} SELECT page_id, url FROM urls")
+def bucketed_page_urls(spark, d):
+    """The same over stored tables, bucketed by node."""
+    path = f"{shared_dir(spark)}/weftline-bucketed-{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with bucketed.bucketed_graph(testgraph.nodes(spark, d), testgraph.edges(spark, d), path, buckets) as (nodes, edges):
+        return Steps(spark, "urls").write(graph.page_urls(nodes, edges), "urls")
+
+
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, pg AS (SELECT src, arg_min(dst, pos) AS page FROM edges WHERE label = 'PathOf' GROUP BY src),
 t AS (SELECT e.src AS page, arg_min(n.text, e.pos) AS title FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE e.label = 'ParentOf' AND list_contains(n.labels, 'Title') GROUP BY e.src),
 o AS (SELECT src, arg_min(dst, pos) AS domain FROM edges WHERE label = 'BelongsTo' GROUP BY src)
@@ -734,6 +758,15 @@ def map_nodes(spark, d):
     return graph.map_nodes(testgraph.nodes(spark, d), run, "node_id long, n long")
 
 
+@query(f"WITH {NODES_SQL} SELECT node_id, len(labels) AS n FROM nodes")
+def map_all_nodes(spark, d):
+    def run(frames):
+        for frame in frames:
+            yield frame[["node_id"]].assign(n=frame["labels"].map(len))
+
+    return graph.map_nodes(testgraph.nodes(spark, d), run, "node_id long, n long")
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 
@@ -741,11 +774,18 @@ def map_nodes(spark, d):
 def incremental_sync(spark, d):
     rows = T(spark, d, "events").select("event_id", C("ts").cast("timestamp").alias("written_at"))
     start = rows.agg(F.min(F.unix_millis("written_at"))).first()[0]
-    early, mark = jobs.incremental_sync(rows.where(F.unix_millis("written_at") <= start + 86400000))
-    fresh, _ = jobs.incremental_sync(rows, start + 86400000)
+    _, mark = jobs.incremental_sync(rows.where(F.unix_millis("written_at") <= start + 86400000))
+    fresh, _ = jobs.incremental_sync(rows, mark)  # no row lies between the mark and the bound
     return fresh.select("event_id")
 
 
+@query("SELECT event_id, ts FROM events")
+def stream_sync(spark, d):
+    """The same on a stream, whose checkpoint is the mark: every row goes to the sink once."""
+    rows = _stream(spark, d, "events").select("event_id", "ts")
+    return _run(lambda save, at: jobs.stream_sync(rows, save, at), rows.schema, spark).select("event_id", "ts")
+
+
 def _run(start: Callable[[Callable[[DataFrame, int], None], str], object], schema, spark: SparkSession) -> DataFrame:
     """Runs a stream over what is there into a table in the shared folder, and reads that."""
     root = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex[:12]}"
