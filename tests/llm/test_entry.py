@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from weftline.llm import pieces
+from weftline.llm import pieces, queries
+from weftline.plans.queries import QUERIES as GRAPH_QUERIES
 
 ROOT = Path(__file__).resolve().parents[2]
 BLOCK = """
@@ -21,7 +22,17 @@ print(len(e.queries()), len(e.oracle_sql()), sorted(n for n in e.queries() if n.
 """
 
 
-@pytest.mark.parametrize(("names", "want"), [(("public_tokenizers",), "85 85 []"), (("corpus_pipeline",), "98 91 ['op1_hilbert_shards']"), ((), "99 91 ['op1_hilbert_shards', 'pipeline']")])
+GRAPH, OPERATORS, SQL = len(GRAPH_QUERIES), len(queries.QUERIES), len(queries.ORACLE_SQL)
+
+
+@pytest.mark.parametrize(
+    ("names", "want"),
+    [
+        (("public_tokenizers",), f"{GRAPH} {GRAPH} []"),
+        (("corpus_pipeline",), f"{GRAPH + OPERATORS} {GRAPH + SQL} ['op1_hilbert_shards']"),
+        ((), f"{GRAPH + OPERATORS + 1} {GRAPH + SQL} ['op1_hilbert_shards', 'pipeline']"),
+    ],
+)
 def test_entry_without_libraries(names, want):
     said = subprocess.run([sys.executable, "-c", BLOCK.format(names=list(names))], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert said.stdout.strip() == want, said.stderr
