@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import add
 
@@ -50,22 +49,23 @@ def curve_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _text_borders(df: DataFrame, name: str, steps: list[float], scratch: Scratch) -> list[str]:
-    """Quantiles of a string column, exactly, in the order of its UTF-8 bytes.
+def _text_borders(df: DataFrame, names: list[str], steps: list[float], scratch: Scratch) -> dict[str, list[str]]:
+    """Quantiles of string columns, exactly, in the order of their UTF-8 bytes.
 
-    Rows are counted by value before anything is ordered; the values are
-    range-partitioned, and counts are cumulated inside partitions, on top of the
-    partitions' sums. Only the borders reach the driver.
+    Rows are counted by column and value before anything is ordered; the values
+    of all columns are range-partitioned together, and counts are cumulated
+    inside partitions, on top of the partitions' sums. Only the borders reach the driver.
     """
-    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
-    ranged = values.repartitionByRange(tasks(df.sparkSession), "value").withColumn("part", F.spark_partition_id())
-    ranged = scratch.write(ranged, f"values_{uuid.uuid4().hex[:8]}")
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("m"))  # a row for each partition
-    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("all"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    upto = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("value", ((F.col("before") + F.col("inside")) / F.col("all")).alias("share"))
-    found = upto.agg(*(F.min(F.when(F.col("share") >= s, F.col("value"))).alias(f"q{i}") for i, s in enumerate(steps))).first()
-    return [b for b in found if b is not None]
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names))).alias("e")
+    values = df.select(each).where("e.value is not null").groupBy("e.name", "e.value").agg(F.count("*").alias("n"))
+    ranged = scratch.write(values.repartitionByRange(tasks(df.sparkSession), "name", "value").withColumn("part", F.spark_partition_id()), "values")
+    sums = ranged.groupBy("name", "part").agg(F.sum("n").alias("m"))  # a row for each partition and column
+    before = sums.select("name", "part", (F.sum("m").over(Window.partitionBy("name").orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("name")).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("name", "part").orderBy("value"))
+    upto = ranged.withColumn("inside", inside).join(F.broadcast(before), ["name", "part"]).select("name", "value", ((F.col("before") + F.col("inside")) / F.col("all")).alias("share"))
+    found = upto.groupBy("name").agg(*(F.min(F.when(F.col("share") >= s, F.col("value"))).alias(f"q{i}") for i, s in enumerate(steps))).collect()
+    scratch.drop("values")
+    return {c: [] for c in names} | {r["name"]: [b for b in r[1:] if b is not None] for r in found}
 
 
 def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits: int = 4) -> DataFrame:
@@ -90,8 +90,8 @@ def hilbert_shards(df: DataFrame, key: str, dims: list[str], shards: int, bits:
         raise ValueError(f"a key or dimension may not be named {sorted(taken)}")
     df = df.drop(*OWN_COLUMNS)
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    texts = {c for c in dims if isinstance(df.schema[c].dataType, T.StringType)}
-    cuts = {c: _text_borders(df, c, steps, scratch) for c in texts}
+    texts = [c for c in dict.fromkeys(dims) if isinstance(df.schema[c].dataType, T.StringType)]
+    cuts = _text_borders(df, texts, steps, scratch) if texts else {}
     if numbers := [c for c in dict.fromkeys(dims) if c not in texts]:
         found = df.agg(*(F.percentile_approx(F.col(c).cast("double"), steps, 10_000).alias(f"q{i}") for i, c in enumerate(numbers))).first()
         cuts |= {c: found[i] or [] for i, c in enumerate(numbers)}
