@@ -108,9 +108,9 @@ def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_de
     Each round joins the frontier with the edges and takes off what is visited;
     rounds are written out, so plans stay short.
 
-    Once the frontier's edges are more than ``bottom_up`` of those that lead to
-    nodes not yet visited, the round goes the other way: visited ends are taken
-    off the edges first, for good, and the frontier is looked up among what is left.
+    Once the frontier has more nodes than ``bottom_up`` of those not yet visited,
+    the round goes the other way: visited ends are taken off the edges first,
+    for good, and the frontier is looked up among what is left.
     """
     spark = nodes.sparkSession
     if start is None:
@@ -119,20 +119,21 @@ def explore(nodes: DataFrame, edges: DataFrame, start: int | None = None, max_de
     tables = Steps(spark, "explore")
     steps = tables.write(edges.select("src", "pos", "dst").join(wanted, "dst", "left_semi"), "steps")  # each round joins them
     visited = frontier = spark.createDataFrame([(start, 0, None, [])], "node_id long, depth int, parent long, rank array<int>")
-    left, name = steps.count(), "steps"
+    left, name = wanted.count(), "steps"
     for depth in range(1, max_depth + 1):
         ahead = frontier.select(F.col("node_id").alias("src"), "rank")
         seen = visited.select(F.col("node_id").alias("dst"))
-        if depth > 1 and steps.join(ahead.select("src"), "src", "left_semi").count() > bottom_up * left:
+        if depth > 1 and size > bottom_up * left:
             steps = tables.write(steps.join(seen, "dst", "left_anti"), f"left{depth}")
             tables.drop(name)
-            left, name = steps.count(), f"left{depth}"
+            name = f"left{depth}"
             fresh = steps.join(ahead, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m"))
         else:
             fresh = ahead.join(steps, "src").groupBy("dst").agg(F.min(F.struct("rank", "pos", "src")).alias("m")).join(seen, "dst", "left_anti")
         level = fresh.select(F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), F.col("m.src").alias("parent"), F.concat("m.rank", F.array("m.pos")).alias("rank"))
         frontier = tables.write(level, str(depth))
-        visited = visited.unionByName(frontier)
+        visited, size = visited.unionByName(frontier), frontier.count()
+        left -= size
     tables.drop(name)
     return visited
 
