@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,6 +198,12 @@ def page_languages(pages: DataFrame, labelled: DataFrame, languages: tuple[str,
     return out.select("page_id", "host", "suffix", "declared", "text_lang", F.col("lang_found").alias("lang"), "posterior", (F.col("letters") & F.col("known") & (F.col("posterior") >= accept)).alias("accepted"))
 
 
+def _row_key(row: Column) -> Column:
+    """128 bits of a row: a hash, and one that is seeded by it. Two rows of one key are taken for equal; 64 bits alone would make some of 10 ** 10 rows meet."""
+    first = F.xxhash64(row)
+    return F.concat(F.hex(first), F.lit(":"), F.hex(F.xxhash64(first, row)))
+
+
 def in_known_language(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: float = 0.5) -> DataFrame:
     """The rows of docs whose text is in one of the languages, unchanged.
 
@@ -208,7 +214,7 @@ def in_known_language(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, a
     """
     model = train(docs.select("text", "lang"), languages)
     rows = docs.withColumns({"_docs": F.struct(*docs.columns)}).select(F.col("_docs"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"))
-    keyed = rows.withColumn("_key", F.xxhash64("_docs"))
+    keyed = rows.withColumn("_key", _row_key(F.col("_docs")))
     found = fuse(text_likelihoods(keyed.select("_key", "declared", "host", "domain", "suffix", "text"), model, is_html=False), languages)
     bad = found.where(~(F.col("letters") & F.col("known") & (F.col("posterior") >= accept))).select("_key").distinct()
-    return docs.withColumn("_key", F.xxhash64(F.struct(*docs.columns))).join(bad, "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("_key", _row_key(F.struct(*docs.columns))).join(bad, "_key", "left_anti").select(*docs.columns)
