@@ -57,12 +57,13 @@ def stream_graph(pages: DataFrame, store: GraphStore, checkpoint: str, delay: st
 
 
 def save_pages(batch: DataFrame, store: GraphStore, k: int | None = None) -> bool:
-    """Merges a batch of pages into the store; the batch is parsed only if it does not count yet."""
+    """Merges a batch of pages into the store; the batch is parsed only if it has rows and does not count yet."""
     if k is not None and k in store.committed():
         return False
     steps = Steps(batch.sparkSession, "ingest")
-    done = store.upsert(*page_graph(batch, steps), k)
-    steps.drop("pages", "parts")
+    batch = steps.write(batch, "batch")
+    done = not batch.isEmpty() and store.upsert(*page_graph(batch, steps), k)
+    steps.drop("batch", "pages", "parts")
     return done
 
 
