@@ -162,6 +162,15 @@ def test_flags_set_or_toggled(spark):
         assert [r.flags for r in out.orderBy(F.col("query").asc_nulls_first()).collect()] == want and pages.count() == 0
 
 
+def test_an_answer_marks_the_link_that_asked(spark):
+    links = spark.createDataFrame([("p", 1, "a", "/", None, 0), ("p", 2, "a", "/", None, 0), ("q", 1, "a", "/", None, 0), ("q", 2, "a", "/", None, 4)], "project_id string, node_id long, domain string, path string, query string, flags int")
+    asked = links.drop("flags")
+    got, failed = asked.where("project_id = 'p' and node_id = 2").withColumn("html", F.lit("x")), asked.where("project_id = 'q' and node_id = 1")
+    out, pages = crawl.apply_fetch_results(links, got, failed, by=["project_id", "node_id"])
+    assert sorted((r.project_id, r.node_id, r.flags) for r in out.collect()) == [("p", 1, 0), ("p", 2, 1), ("q", 1, 8), ("q", 2, 4)]
+    assert [(r.project_id, r.node_id, r.domain, r.html) for r in pages.collect()] == [("p", 2, "a", "x")]
+
+
 def test_new_links_treat_null_queries_as_equal(spark):
     rows = [("p", "a", "/", None), ("p", "a", "/", "q"), ("p", "a", "/", None)]
     found = spark.createDataFrame(rows, "project_id string, domain string, path string, query string")

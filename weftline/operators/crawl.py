@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,20 +160,24 @@ def select_frontier(nodes: DataFrame, now: Column, limit: int = 100, retry_after
     return always.unionByName(links).orderBy("node_id")
 
 
-def apply_fetch_results(links: DataFrame, responses: DataFrame, errors: DataFrame, mode: str = "default") -> tuple[DataFrame, DataFrame]:
+def apply_fetch_results(links: DataFrame, responses: DataFrame, errors: DataFrame, mode: str = "default", by: Sequence[str] = LINK_KEY) -> tuple[DataFrame, DataFrame]:
     """(links with new flags, pages): responses(domain, path, query, html) make pages and mark their links processed, errors(domain, path, query) mark them failed.
 
+    ``by`` names the columns, in all three tables, that tell which link asked;
+    where one link has rows of several projects or requests, give their ids
+    (``project_id``, ``node_id``), or an answer to one marks them all.
     Flags are set; with ``mode="reference"`` they are toggled.
     """
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"_{c}") for c in LINK_KEY)).distinct().withColumn(name, F.lit(True))
+    own = [f"_{c}" for c in by]
 
-    on = (F.col("domain") == F.col("_domain")) & (F.col("path") == F.col("_path")) & F.col("query").eqNullSafe(F.col("_query"))
-    marked = links.join(keys(responses, "_got"), on, "left").drop("_domain", "_path", "_query").join(keys(errors, "_failed"), on, "left").drop("_domain", "_path", "_query")
+    def keys(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"_{c}") for c in by)).distinct()
+
+    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "query" else F.col(c) == F.col(f"_{c}") for c in by))
+    marked = links.join(keys(responses).withColumn("_got", F.lit(True)), on, "left").drop(*own).join(keys(errors).withColumn("_failed", F.lit(True)), on, "left").drop(*own)
     change = (lambda f, bit: f.bitwiseXOR(bit)) if mode == "reference" else (lambda f, bit: f.bitwiseOR(bit))
     flags = F.when(F.col("_got"), change(F.col("flags"), F.lit(PROCESSED))).when(F.col("_failed"), change(F.col("flags"), F.lit(HAD_ERROR))).otherwise(F.col("flags"))
-    known = links.select(*(F.col(c).alias(f"_{c}") for c in LINK_KEY)).distinct()
-    pages = responses.join(known, on, "left_semi").select(*LINK_KEY, "html", F.lit("PathOf").alias("edge"), F.lit("ContentOf").alias("inverse_edge"))
+    pages = responses.join(keys(links), on, "left_semi").select(*(c for c in by if c not in LINK_KEY), *LINK_KEY, "html", F.lit("PathOf").alias("edge"), F.lit("ContentOf").alias("inverse_edge"))
     return marked.withColumn("flags", flags).select(*links.columns), pages
 
 
