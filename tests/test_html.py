@@ -1,4 +1,7 @@
+import pyarrow as pa
+
 from weftline.operators import html
+from weftline.shared import ROWS_OUT
 
 
 def kinds(page, *which):
@@ -36,6 +39,14 @@ def test_odd_pages(spark):
     assert html.page_parts(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_parts_come_in_bounded_batches():
+    pages = pa.record_batch({"page_id": list(range(900)), "html": [f"<html><p>{k}<p>b<p>c<a href='/x'>d</a>" for k in range(900)]})
+    out = list(html.part_batches(iter([pages, pages.slice(0, 0)])))
+    assert len(out) > 3 and max(b.num_rows for b in out) <= ROWS_OUT
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["page_id"], r["pos"], r["text"]) for r in rows if r["pos"] == 0] == [(k, 0, str(k)) for k in range(900)] and len(rows) == 3600
+
+
 def test_links_to_unknown_domains_need_https(spark):
     pages = spark.createDataFrame([(1, "https://a.example/x/", '<html><a href="http://b.example/1">b</a><a href="https://c.example/">c</a><a href="http://c.example/2">c</a><a href="../y">y</a>')], "page_id long, url string, html string")
     links = html.extract_links(pages, html.extract_anchors(html.page_parts(pages)))

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_text
 from weftline.functions.urls import parse_link, resolve_asset, resolve_href
 from weftline.schemas import PARTS
+from weftline.shared import arrow_batches, python_rows
 
 # Fixed values of the HTML standard: elements without content, and start tags that end an open paragraph.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -141,15 +142,17 @@ def html_gate(pages: DataFrame) -> DataFrame:
     return pages.where(F.lower("html").contains("<html"))
 
 
-def page_parts(pages: DataFrame) -> DataFrame:
-    """All parts of ``pages(page_id, html)``; pages that are not HTML have none. The one place where pages are parsed."""
+def part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of (page_id, html); of a batch only a few pages and some parts are Python objects at once."""
+    text = pa.string()
+    schema = pa.schema({"page_id": pa.int64(), "pos": pa.int32(), "parent_pos": pa.int32(), "kind": text, "text": text, "name": text, "value": text})
+    for batch in batches:
+        yield from arrow_batches(((page, pos, *part) for page, html in python_rows(batch) for pos, part in enumerate(parts(html))), schema)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(page, pos, *part) for page, html in zip(frame["page_id"], frame["html"], strict=True) for pos, part in enumerate(parts(html))]
-            yield pd.DataFrame(rows, columns=PARTS.names, dtype=object)
 
-    return html_gate(pages).select("page_id", "html").mapInPandas(parse, PARTS)
+def page_parts(pages: DataFrame) -> DataFrame:
+    """All parts of ``pages(page_id, html)``; pages that are not HTML have none. The one place where pages are parsed."""
+    return html_gate(pages).select(F.col("page_id").cast("long"), "html").mapInArrow(part_batches, PARTS)
 
 
 def _kind(found: DataFrame, *kinds: str) -> DataFrame:
