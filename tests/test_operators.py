@@ -5,11 +5,13 @@ import re
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import parse_link
-from weftline.operators import admission, crawl, graph, search
+from weftline.operators import admission, crawl, enrich, graph, search
+from weftline.shared import ROWS_OUT
 from weftline.sources import bucketed, store, tables
 from weftline.streaming import jobs
 
@@ -323,6 +325,15 @@ def test_many_terms_use_an_automaton(spark, monkeypatch):
     assert "Exchange" not in plan
 
 
+def test_entities_come_in_bounded_batches():
+    find = enrich.entity_batches(lambda: enrich.gazetteer({"Person": ["Al"], "Place": ["Rome"]}), 0.5)
+    texts = pa.record_batch({"page_id": [str(k) for k in range(3000)], "content": ["Al in Rome", None, "Al"] * 1000, "_names": [["Person"]] * 3000})
+    out = list(find(iter([texts])))
+    assert len(out) > 2 and max(b.num_rows for b in out) <= ROWS_OUT
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [len(r["entities"]) for r in rows] == [1, 0, 1] * 1000 and rows[2]["page_id"] == "2" and rows[2]["entities"][0]["matching_text"] == "Al"
+
+
 def test_context_stays_on_the_page(spark):
     parts = spark.createDataFrame([(1, 0, "hit"), (1, 1, "next"), (1, 2, "far"), (2, 0, "other"), (2, 1, "")], "page_id long, pos int, text string")
     assert sorted((r.page_id, r.pos) for r in search.search_with_context(parts, ["HIT"]).collect()) == [(1, 0), (1, 1)]

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from weftline.functions.answers import parse_llm_json
 from weftline.functions.text import contains_any
 from weftline.functions.urls import host_name
 from weftline.schemas import CLASSIFICATION, ENTITY, ENTITY_NAMES, PLAN
+from weftline.shared import arrow_batches, python_rows
 
 ANSWER_SCHEMA = "{ is_relevant: boolean, reason: string, insight_if_classified_as_relevant: string | null }"
 
@@ -94,15 +96,26 @@ def extract_entities(pages: DataFrame, labels: DataFrame, make_extractor: Callab
     """
     asked = pages.join(labels.select("project_id", F.col("names").alias("_names")), "project_id").select("page_id", "content", "_names")
     schema = T.StructType([pages.schema["page_id"], T.StructField("entities", T.ArrayType(ENTITY))])
+    return asked.mapInArrow(entity_batches(make_extractor, least), schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def entity_batches(make_extractor: Callable[[], Callable], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entities of batches of (page_id, content, names); of a batch only a few texts and some spans are Python objects at once."""
+    names = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float32())
+    spans = pa.list_(pa.struct(list(zip(ENTITY.names, names, strict=True))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = make_extractor()
-        for frame in frames:
-            found = [find(text or "", {n for n in names if n in ENTITY_NAMES}) for text, names in zip(frame["content"], frame["_names"], strict=True)]
-            spans = [[dict(zip(ENTITY.names, e, strict=True)) for e in f if e[0] in ENTITY_NAMES and e[4] >= least] for f in found]
-            yield pd.DataFrame({"page_id": frame["page_id"], "entities": spans})
 
-    return asked.mapInPandas(run, schema)
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for page, text, asked in python_rows(batch):
+                found = find(text or "", {n for n in asked if n in ENTITY_NAMES})
+                yield page, [dict(zip(ENTITY.names, e, strict=True)) for e in found if e[0] in ENTITY_NAMES and e[4] >= least]
+
+        for batch in batches:
+            yield from arrow_batches(rows(batch), pa.schema([batch.schema.field("page_id"), pa.field("entities", spans)]))
+
+    return run
 
 
 def entity_rollup(page_entities: DataFrame, name: str | None = None) -> DataFrame:
