@@ -325,6 +325,26 @@ def test_many_terms_use_an_automaton(spark, monkeypatch):
     assert "Exchange" not in plan
 
 
+def test_hits_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(search, "HITS", 50)
+    texts = pa.record_batch({"node_id": list(range(40)), "low": ["abcd" * (k % 3) for k in range(40)]})
+    terms = [("a", "a"), ("A", "a"), ("bc", "bc"), ("bcda", "bcda"), ("", ""), ("x", "x")]
+    out = list(search.hit_batches(terms)(iter([texts])))
+    assert len(out) > 2 and max(b.num_rows for b in out) <= 50
+    got = [(r["term"], r["node_id"]) for b in out for r in b.to_pylist()]
+    assert sorted(got) == sorted((t, k) for t, low in terms for k in range(40) if low in "abcd" * (k % 3))
+
+
+def test_long_terms_take_more_passes(spark, monkeypatch):
+    parts = spark.createDataFrame([(1, "aaaabbbb"), (2, "bbbbcccc")], "node_id long, text string")
+    terms = spark.createDataFrame([("aaaa",), ("bbbb",), ("cccc",), ("dddd",)], "term string")
+    monkeypatch.setattr(search, "FEW_TERMS", 1)
+    monkeypatch.setattr(search, "AUTOMATON_CHARS", 6)
+    found = search.saved_search_all(parts, terms)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") >= 3
+    assert sorted(map(tuple, found.collect())) == [("aaaa", 1), ("bbbb", 1), ("bbbb", 2), ("cccc", 2)]
+
+
 def test_entities_come_in_bounded_batches():
     find = enrich.entity_batches(lambda: enrich.gazetteer({"Person": ["Al"], "Place": ["Rome"]}), 0.5)
     texts = pa.record_batch({"page_id": [str(k) for k in range(3000)], "content": ["Al in Rome", None, "Al"] * 1000, "_names": [["Person"]] * 3000})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import itemgetter
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from weftline.shared import Steps
 
 #: Terms up to which Spark tests each text for each term; more go through an automaton.
 FEW_TERMS = 32
-#: Terms of one automaton; more terms take several passes over the texts.
-AUTOMATON_TERMS = 50_000
+#: Terms of one automaton and their characters, which bound its memory; more take several passes over the texts.
+AUTOMATON_TERMS, AUTOMATON_CHARS = 500_000, 4_000_000
+#: Hits that a task holds at once.
+HITS = 1 << 16
 
 
 def saved_search(nodes: DataFrame, term: str) -> DataFrame:
@@ -48,33 +52,60 @@ def saved_search_all(parts: DataFrame, terms: DataFrame) -> DataFrame:
     if len(few) <= FEW_TERMS:
         return parts.select("node_id", "text").join(F.broadcast(distinct), F.lower("text").contains(F.col("low"))).select("term", "node_id")
     table = Steps(spark, "terms").write(distinct, "terms")
-    passes = -(-table.count() // AUTOMATON_TERMS)
+    n, chars = table.agg(F.count("*"), F.sum(F.length("low"))).first()
+    passes = max(-(-n // AUTOMATON_TERMS), -(-chars // AUTOMATON_CHARS))
     found = [_found(parts, [tuple(r) for r in table.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect()]) for k in range(passes)]
     return reduce(DataFrame.unionByName, found)
 
 
 def _found(parts: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """(term, node_id) of the texts that hold a term, by one automaton over the terms' lower-case forms."""
+    key = parts.schema["node_id"].dataType.simpleString()
+    return parts.where("text is not null").select("node_id", F.lower("text").alias("low")).mapInArrow(hit_batches(terms), f"term string, node_id {key}")
+
+
+def hit_batches(terms: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, node_id) of batches of (node_id, lower-case text), in batches of bounded size.
+
+    A text's hits are numbers; Arrow looks up terms and ids, so a hit makes no Python row.
+    """
     by_low: dict[str, list[str]] = {}
     for term, low in terms:
         by_low.setdefault(low, []).append(term)
-    key = parts.schema["node_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for low, own in by_low.items():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, number = ahocorasick.Automaton(), itemgetter(1)
+        for k, low in enumerate(by_low):
             if low:
-                automaton.add_word(low, own)
+                automaton.add_word(low, k)
         automaton.make_automaton()
-        always = by_low.get("", [])
-        for frame in frames:
-            hits = []
-            for node_id, low in zip(frame["node_id"], frame["low"], strict=True):
-                lists = {id(own): own for _, own in automaton.iter(low)} if len(automaton) else {}
-                hits += [(term, node_id) for own in (always, *lists.values()) for term in own]
-            yield pd.DataFrame(hits, columns=["term", "node_id"])
-
-    return parts.where("text is not null").select("node_id", F.lower("text").alias("low")).mapInPandas(run, f"term string, node_id {key}")
+        always = [k for k, low in enumerate(by_low) if not low]
+        names = pa.array([t for own in by_low.values() for t in own], pa.string())
+        counts = np.fromiter(map(len, by_low.values()), np.int64, len(by_low))
+        starts = np.cumsum(counts) - counts
+
+        def rows(batch: pa.RecordBatch, places: list[int], sizes: list[int], hits: list[int]) -> Iterator[pa.RecordBatch]:
+            lows, place = np.array(hits, np.int64), np.repeat(places, sizes)
+            n = counts[lows]  # terms that differ in case only have one lower-case form
+            place, first = np.repeat(place, n), np.repeat(starts[lows] - (np.cumsum(n) - n), n)
+            out = pa.RecordBatch.from_arrays([names.take(pa.array(first + np.arange(len(first)))), batch.column("node_id").take(pa.array(place))], ["term", "node_id"])
+            for at in range(0, out.num_rows, HITS):
+                yield out.slice(at, HITS)
+
+        for batch in batches:
+            places, sizes, hits = [], [], []
+            for place, low in enumerate(batch.column("low")):
+                own = [*always, *set(map(number, automaton.iter(low.as_py())))] if len(automaton) else always
+                places.append(place)
+                sizes.append(len(own))
+                hits += own
+                if len(hits) >= HITS:
+                    yield from rows(batch, places, sizes, hits)
+                    places, sizes, hits = [], [], []
+            if hits:
+                yield from rows(batch, places, sizes, hits)
+
+    return run
 
 
 def search_with_context(parts: DataFrame, terms: list[str]) -> DataFrame:
