@@ -83,3 +83,17 @@ def test_archive_leaves_no_tables(spark):
     before = len(spark.catalog.listTables())
     first = sorted(map(str, warc.archived_pages(pages).collect()))
     assert len(spark.catalog.listTables()) == before and sorted(map(str, warc.archived_pages(pages).collect())) == first
+
+
+def test_a_read_archive_leaves_no_tables_and_stays_bucketed(spark, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    warc.write_archive(spark.createDataFrame([(k, "u", f"own {k % 5}") for k in range(9)], PAGES), f"{tmp_path}/w")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        records = warc.read_records(spark, f"{tmp_path}/w")
+        assert {t.name for t in spark.catalog.listTables()} == before
+        assert "Bucketed: true" in records._jdf.queryExecution().executedPlan().toString()
+        again = warc.read_records(spark, f"{tmp_path}/w")
+        assert sorted(map(str, records.collect())) == sorted(map(str, again.collect())) and records.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

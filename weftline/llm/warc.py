@@ -91,8 +91,12 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, place, sha256, head_bytes, record): every record's exact bytes, rebuilt by a join on the digest, and the length of its header."""
+    """(page_id, place, sha256, head_bytes, record): every record's exact bytes, rebuilt by a join on the digest, and the length of its header.
+
+    What it returns goes on reading the tables as bucketed, but they are taken off the session's catalogue; a later call reads their plain files.
+    """
     first, payloads = (_read_bucketed(spark, f"{path}/{name}") for name in ("headers", "payloads"))
+    forget_buckets(spark, path)
     more = spark.read.parquet(f"{path}/more_headers")
     record = lambda *block: F.concat("header", *block, F.lit(b"\r\n\r\n")).alias("record")
     names = ["page_id", "place", "sha256", F.octet_length("header").alias("head_bytes")]
@@ -144,7 +148,6 @@ def archived_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "archive")
     write_archive(pages, scratch.root, least)
     parsed = scratch.write(parse_records(read_records(pages.sparkSession, scratch.root)), "parsed")
-    forget_buckets(pages.sparkSession, scratch.root)
     return resolved(parsed)
 
 
