@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, language, near_copies, pieces, suffixes
-from weftline.llm.storage import Scratch
+from weftline.llm.storage import Scratch, by_shuffle
 
 #: Shortest repeated passage that is cut, in bytes: below 50 words of any of the languages.
 PASSAGE_BYTES = 200
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.withColumn("_name", name)
     groups = near_copies.copy_groups(named.select(F.col("_name").alias("doc_id"), "text"), shingle=5, percent=80)
     others = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_name")).distinct()
-    return named.join(others, "_name", "left_anti").dropDuplicates(["_name"]).select(*docs.columns)
+    return by_shuffle(named).join(others, "_name", "left_anti").dropDuplicates(["_name"]).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import Scratch
+from weftline.llm.storage import Scratch, by_shuffle
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -43,11 +43,11 @@ def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _down(edges.join(low.withColumnRenamed("u", "b"), "b").select("a", F.col("m").alias("b")))
+    return _down(by_shuffle(edges).join(low.withColumnRenamed("u", "b"), "b").select("a", F.col("m").alias("b")))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = by_shuffle(edges).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _down(moved.unionByName(low.select("a", F.col("m").alias("b"))))

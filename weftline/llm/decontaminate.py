@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import Scratch, broadcast_up_to
+from weftline.llm.storage import Scratch, broadcast_up_to, by_shuffle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a text before or after A-Z are lower-cased.
@@ -97,8 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     hits = scratch.write(found.join(broadcast_up_to(marks, SMALL), "hash").select("key", "length", first.alias("low"), F.col("at").alias("high")).distinct(), "hits")
 
     around = hits.groupBy("key").agg(F.collect_set(F.struct("length", "low", "high")).alias("hits"))  # at most a document's words
-    if hits.limit(SMALL + 1).count() <= SMALL:
-        around = F.broadcast(around)
+    around = F.broadcast(around) if hits.limit(SMALL + 1).count() <= SMALL else by_shuffle(around)
     near = docs.select(document_key().alias("key"), "text").join(around, "key").select("key", "hits", words(F.col("text")).alias("w")).dropDuplicates(["key"])
     # A start and a length in one number, which is told apart by hash.
     packed = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.sequence(h["low"], F.greatest(h["low"], F.least(h["high"], F.size("w") - h["length"]))), lambda s: s.cast("long") * (window + 1) + h["length"]))))

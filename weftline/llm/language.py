@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.storage import Scratch
+from weftline.llm.storage import Scratch, by_shuffle
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Hashed byte trigrams: 2 ** FEATURE_BITS of them, whatever the corpus holds.
@@ -21,6 +21,8 @@ FEATURE_BITS = 14
 TRIGRAMS = 200.0
 #: Weight of the parent level in a host's prior, in pages.
 PARENT = 5.0
+#: Hosts up to which their counts are broadcast (some hundred bytes each).
+HOSTS = 50_000
 #: Trigrams a language must have been counted on before its level is known, and nats by which it must lie above what other languages get.
 ENOUGH, GAP = 1 << 16, 1.0
 SCRIPT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -157,7 +159,8 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
     forms = ["none", "other", *languages]
     table = {(r["_own"], r["_declared"]): r["n"] for r in rows.where("_own is not null").groupBy("_own", "_declared").agg(F.count("*").alias("n")).collect()}  # languages x forms
     levels = hosts.join(domains, ["_domain", "_suffix"]).join(suffixes, "_suffix").select("_host", "_domain", "_suffix", "_at_host", "_at_domain", "_at_suffix")
-    joined = rows.join(levels, ["_host", "_domain", "_suffix"])
+    # Spark would take the levels, as a product of three tables, for more than the rows.
+    joined = rows.join(F.broadcast(levels) if hosts.limit(HOSTS + 1).count() <= HOSTS else by_shuffle(levels), ["_host", "_domain", "_suffix"])
 
     said = np.array([[table.get((k, f), 0) + 1 for f in forms] for k in range(n)], float)
     said = np.log(said / said.sum(axis=1, keepdims=True))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from weftline.llm.components import connected_components
 from weftline.llm.simhash import SEED, fingerprint_links, fingerprint_of, shingle_hashes
-from weftline.llm.storage import Scratch, broadcast_up_to, tasks
+from weftline.llm.storage import Scratch, broadcast_up_to, by_shuffle, tasks
 
 #: A pair of similarity J shares a band with probability 1 - (1 - J ** ROWS) ** BANDS: 0.9995 at 0.8.
 BANDS, ROWS = 25, 6
@@ -22,6 +22,8 @@ FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np
 OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 #: Documents and bytes of shingle hashes of one block of candidates; a task holds two blocks.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Rows of one number each up to which a table is broadcast, after a count.
+SMALL = 200_000
 #: Keys that the classes of one group are dealt over.
 SALTS = 16
 
@@ -139,9 +141,9 @@ def _star_links(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame
     """Those of the candidate pairs ``stars(a, b)`` that are similar enough; b is a hub, and a large star is dealt over parts that each have the hub's set."""
     parts = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     sets = members.select("node", "shingles")
-    points = stars.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node")).withColumn("hub", F.lit(False))
+    points = by_shuffle(stars).join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node")).withColumn("hub", F.lit(False))
     centres = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("node")).withColumn("hub", F.lit(True))
-    rows = points.unionByName(centres).join(sets, "node")
+    rows = by_shuffle(points.unionByName(centres)).join(sets, "node")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, values = None, np.empty(0, np.uint64)
@@ -171,18 +173,18 @@ def _links_by_band(members: DataFrame, stars: DataFrame, keys: DataFrame, scratc
     """
     first = scratch.write(_star_links(stars, members, percent), "stars")
     group = connected_components(first)
-    placed = scratch.write(keys.join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = scratch.write(by_shuffle(keys).join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = placed.join(open_, "key").select("key", "node")
-    return first.unionByName(_links_within(left.join(members.select("node", "size", "shingles"), "node"), percent))
+    left = by_shuffle(placed).join(open_, "key").select("key", "node")
+    return first.unionByName(_links_within(by_shuffle(left).join(members.select("node", "size", "shingles"), "node"), percent))
 
 
 def _simhash_links(own: DataFrame, classes: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
     """Links (a, b) between the classes' nodes over fingerprints within the distance; nodes of one fingerprint hang on its smallest."""
-    points = own.select("node", "fingerprint").join(classes.select("node"), "node", "left_semi")
+    points = by_shuffle(own.select("node", "fingerprint")).join(classes.select("node"), "node", "left_semi")
     points = scratch.write(points, "points")
     least = points.groupBy("fingerprint").agg(F.min("node").alias("b"))
-    equal = points.join(least, "fingerprint").where("node != b").select(F.col("node").alias("a"), "b")
+    equal = by_shuffle(points).join(least, "fingerprint").where("node != b").select(F.col("node").alias("a"), "b")
     return equal.unionByName(fingerprint_links(least.withColumnRenamed("b", "node"), distance))
 
 
@@ -205,34 +207,34 @@ def copy_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, distance:
     scratch = Scratch(spark, "copies")
     own = scratch.write(signatures(docs, shingle).withColumn("node", F.monotonically_increasing_id()), "own")
     classes = scratch.write(own.groupBy("digest").agg(F.min(F.struct("node", "text_hash", "size")).alias("c"), F.min("doc_id").alias("least")).select("digest", "c.*", "least"), "classes")
-    keys = own.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
+    keys = by_shuffle(own.select("node", "bands")).join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     keys = scratch.write(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    banded = keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    banded = by_shuffle(keys).join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     near = scratch.write(banded.unionByName(_simhash_links(own, classes, scratch, distance)).distinct(), "near")
-    candidates = scratch.write(connected_components(near).join(classes, "node"), "candidates")
+    candidates = scratch.write(by_shuffle(connected_components(near)).join(classes, "node"), "candidates")
     large = candidates.groupBy("component").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes")).where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("component")
     large = scratch.write(candidates.join(large, "component", "left_semi").select("node"), "large")
-    by_band = not large.isEmpty()
+    by_band, nodes = not large.isEmpty(), broadcast_up_to(large, SMALL)
     if by_band:
-        stars = scratch.write(near.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), "large_near")
-        shared = scratch.write(keys.join(hubs.select("key"), "key", "left_semi").join(large, "node", "left_semi"), "large_keys")
+        stars = scratch.write(near.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi"), "large_near")
+        shared = scratch.write(by_shuffle(keys).join(hubs.select("key"), "key", "left_semi").join(nodes, "node", "left_semi"), "large_keys")
     for used in ("keys", "near", "points"):
         scratch.drop(used)
     # Sets are made anew for candidates alone: those of all documents would take more room than the texts.
-    wanted = broadcast_up_to(candidates.select("text_hash").distinct(), 200_000)
+    wanted = broadcast_up_to(candidates.select("text_hash").distinct(), SMALL)
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
-    members = scratch.write(shingle_sets(texts, shingle).dropDuplicates(["digest"]).join(candidates, "digest").select("node", "component", "size", "shingles"), "members")
-    links = _links_within((members.join(large, "node", "left_anti") if by_band else members).withColumnRenamed("component", "key"), percent)
+    members = scratch.write(by_shuffle(shingle_sets(texts, shingle).dropDuplicates(["digest"])).join(candidates, "digest").select("node", "component", "size", "shingles"), "members")
+    links = _links_within((members.join(nodes, "node", "left_anti") if by_band else members).withColumnRenamed("component", "key"), percent)
     if by_band:
-        links = links.unionByName(_links_by_band(members.join(large, "node", "left_semi"), stars, shared, scratch, percent))
+        links = links.unionByName(_links_by_band(members.join(nodes, "node", "left_semi"), stars, shared, scratch, percent))
     links = scratch.write(links, "links")
     group = connected_components(links)
     # A group's name is found over its classes and sent to them in salted copies, so that a large group is many keys.
-    linked = classes.join(group, "node").withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    linked = by_shuffle(classes).join(group, "node").withColumn("_salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
     names = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    placed = linked.join(names, ["component", "_salt"]).select("digest", "component_id")
-    named = classes.select("digest", "least").join(placed, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
-    out = scratch.write(own.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id"), "groups")
+    placed = by_shuffle(linked).join(names, ["component", "_salt"]).select("digest", "component_id")
+    named = by_shuffle(classes.select("digest", "least")).join(placed, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    out = scratch.write(by_shuffle(own.select("doc_id", "digest")).join(named, "digest").select("doc_id", "component_id"), "groups")
     scratch.keep("groups")
     return out

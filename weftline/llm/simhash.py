@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.components import connected_components
-from weftline.llm.storage import Scratch, tasks
+from weftline.llm.storage import Scratch, by_shuffle, tasks
 
 SEED = 42
 EVEN = 0x5555555555555555
@@ -175,7 +175,7 @@ def fingerprint_links(points: DataFrame, distance: int = 4, bucket: int = BUCKET
         code = segment_counts(F.col("fingerprint")) if on_counts else F.col("fingerprint")
         keys = points.withColumn("_code", code).select("node", "fingerprint", F.explode(F.array(*(F.xxhash64(F.col("_code").bitwiseAND(m), F.lit(i)) for i, m in enumerate(masks)))).alias("key"))
         full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        cells = scratch.write(keys.join(full, "key"), f"cells{k}")
+        cells = scratch.write(by_shuffle(keys).join(full, "key"), f"cells{k}")
         last = k == len(levels) - 1
         fit = cells if last else cells.where(F.col("n") <= bucket)
         sorted_cells = fit.select("key", "node", "fingerprint").repartition(tasks(spark), "key").sortWithinPartitions("key")
@@ -205,5 +205,5 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, bucket:
     classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     links = fingerprint_links(classes.where("node is not null"), distance, bucket)
     group = connected_components(links).withColumnsRenamed({"component": "component_id"})
-    classes = classes.join(group, "node", "left").select("fingerprint", F.coalesce("component_id", "node").alias("component_id"))
-    return own.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = by_shuffle(classes).join(group, "node", "left").select("fingerprint", F.coalesce("component_id", "node").alias("component_id"))
+    return by_shuffle(own).join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
