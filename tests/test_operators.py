@@ -257,6 +257,18 @@ def test_streamed_pages_are_those_of_the_batch(spark, tmp_path):
     assert edges.where("label = 'ParentOf'").count() == 2 * (5 + 1 + 2) and edges.where("label = 'BelongsTo'").count() == 5
 
 
+def test_link_streamed_with_two_contents(spark, tmp_path):
+    rows = [("p", "https://a.example/", PAGE, T0), ("p", "http://a.example/", PAGE.replace("one", "two"), T0), ("p", "https://a.example/", PAGE, T0 + timedelta(seconds=5))]
+    spark.createDataFrame(rows, "project_id string, url string, html string, fetched_at timestamp").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("project_id string, url string, html string, fetched_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stored = store.GraphStore(spark, f"file://{tmp_path}/s", buckets=2)
+    jobs.stream_graph(stream, stored, f"{tmp_path}/c").awaitTermination()
+    nodes, edges = stored.read("p")
+    text = lambda label: sorted(r.text for r in nodes.where(F.array_contains("labels", label)).collect())
+    assert text("WebPage") == sorted({r[2] for r in rows}) and text("Paragraph") == ["one", "two"]
+    assert nodes.where(F.array_contains("labels", "Link")).count() == 3 and edges.where("label = 'PathOf'").count() == 2
+
+
 def test_explore_takes_the_first_way(spark):
     nodes = spark.createDataFrame([(1, ["Objective"]), (2, ["Link"]), (3, ["Link"]), (4, ["DomainName"]), (5, ["Title"]), (6, ["Link"])], "node_id long, labels array<string>")
     edges = spark.createDataFrame([(1, 1, 3), (1, 2, 2), (1, 3, 5), (3, 1, 4), (2, 1, 4), (4, 1, 1), (5, 1, 6)], "src long, pos int, dst long")

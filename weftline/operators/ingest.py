@@ -24,7 +24,7 @@ def node_id(kind: str, *key: str) -> Column:
 
 
 def page_graph(pages: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of ``pages(project_id, domain, path, query, html, fetched_at)``, one row a link.
+    """(nodes, edges) of ``pages(project_id, domain, path, query, html, fetched_at)``, one row for each of a link's contents.
 
     Each page gives its domain, its link, the page itself, its metadata and its
     parts, and the links and domains that it leads to. Edges come with their
@@ -32,8 +32,8 @@ def page_graph(pages: DataFrame, steps: Steps | None = None) -> tuple[DataFrame,
     empty is none. Pages that are no HTML give domain, link and page alone.
     """
     steps = steps or Steps(pages.sparkSession, "ingest")
-    own = pages.withColumn("query", F.nullif("query", F.lit("")))
-    own = own.select("project_id", "domain", "path", "query", "html", F.col("fetched_at").alias("written_at"), node_id("WebPage", "domain", "path", "query").alias("page_id"), full_url(F.col("domain"), F.col("path"), F.col("query")).alias("url"))
+    own = pages.withColumns({"query": F.nullif("query", F.lit("")), "_sha": F.sha2("html", 256)})
+    own = own.select("project_id", "domain", "path", "query", "html", F.col("fetched_at").alias("written_at"), node_id("WebPage", "domain", "path", "query", "_sha").alias("page_id"), full_url(F.col("domain"), F.col("path"), F.col("query")).alias("url"))
     own = steps.write(own, "pages")
     parts = steps.write(html.page_parts(own), "parts")  # the one time that pages are parsed
     of = own.select("page_id", "project_id", "written_at")

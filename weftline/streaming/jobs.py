@@ -30,11 +30,16 @@ def stream_sync(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_links(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Distinct links of a stream of fetched pages(project_id, url, html, fetched_at), with page_id if there; rows later than ``delay`` are dropped."""
+def stream_links(pages: DataFrame, delay: str = "1 hour", contents: bool = False) -> DataFrame:
+    """Distinct links of a stream of fetched pages(project_id, url, html, fetched_at), with page_id if there; rows later than ``delay`` are dropped.
+
+    With ``contents``, a link has a row for each of its contents, told apart by their SHA-256.
+    """
     own = [c for c in ("page_id",) if c in pages.columns]
     links = pages.withColumn("l", parse_link(F.col("url"))).select("project_id", *own, "l.*", "html", "fetched_at").where("domain is not null")
-    return links.withColumn("query", F.coalesce("query", F.lit(""))).withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["project_id", "domain", "path", "query"])
+    links = links.withColumn("query", F.coalesce("query", F.lit(""))).withWatermark("fetched_at", delay)
+    key = ["project_id", "domain", "path", "query"]
+    return links.withColumn("_sha", F.sha2("html", 256)).dropDuplicatesWithinWatermark([*key, "_sha"]).drop("_sha") if contents else links.dropDuplicatesWithinWatermark(key)
 
 
 def stream_pages(pages: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 hour"):
@@ -51,9 +56,10 @@ def stream_parts(pages: DataFrame, save: Callable[[DataFrame, int], None], check
 def stream_graph(pages: DataFrame, store: GraphStore, checkpoint: str, delay: str = "1 hour"):
     """Runs ``stream_links`` over what is there and merges each micro-batch's nodes and edges into the store: domains, links, pages, metadata, parts and the links found.
 
+    A link that comes again with other contents has two pages, as in the reference, so nothing depends on which comes first.
     The store's ledger holds the numbers of micro-batches, so one that is run again changes nothing.
     """
-    return stream_links(pages, delay).writeStream.foreachBatch(lambda batch, k: save_pages(batch, store, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_links(pages, delay, contents=True).writeStream.foreachBatch(lambda batch, k: save_pages(batch, store, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def save_pages(batch: DataFrame, store: GraphStore, k: int | None = None) -> bool:
